@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import encoding
+from lexspark.llm import encoding, residue
 from lexspark.sources.tables import table
 
 
@@ -25,5 +25,15 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d).withColumn("whole", ~F.col("restored").rlike(f"[{encoding.LOST_JAVA}]"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_restored": p7_restored}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents", "doc_id", "text", "source")).select("doc_id").distinct()
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay: doc_id and length."""
+    x = residue.evidence(table(spark, d, "documents", "doc_id", "text", "source", "n_chars"))
+    return x.filter("not (placeholder or response or filler or duplicated)").select("doc_id", "n_chars")
+
+
+QUERIES = {"p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL: dict[str, str] = {}
