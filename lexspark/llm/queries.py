@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import encoding, residue
+from lexspark.llm import encoding, lookalike, residue
 from lexspark.sources.tables import table
 
 
@@ -35,5 +35,19 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return x.filter("not (placeholder or response or filler or duplicated)").select("doc_id", "n_chars")
 
 
-QUERIES = {"p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+def _deviating(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "lsr_metadata", "id", "language_code", *lookalike.FORM_FIELDS, *lookalike.PHONETIC_FIELDS)
+    return lookalike.deviating(m, table(spark, d, "languages", "iso_code", "script"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _deviating(spark, d).select("lsr_id", "field").distinct()
+
+
+def p6_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """Deviating values with their one consistent form."""
+    return _deviating(spark, d)
+
+
+QUERIES = {"p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL: dict[str, str] = {}
