@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import encoding, lookalike, residue
+from lexspark.llm import canonical, encoding, lookalike, residue
 from lexspark.sources.tables import table
 
 
@@ -49,5 +49,20 @@ def p6_rewritten(spark: SparkSession, d: str) -> DataFrame:
     return _deviating(spark, d)
 
 
-QUERIES = {"p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "raw_entries", "entry_id", "language", "language_code")
+    return canonical.resolve(e, table(spark, d, "languages"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d).filter("not exact").select("entry_id", "iso_code").distinct()
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Entered values without a canonical entry, with their number of rows."""
+    x = _resolved(spark, d).filter(F.col("iso_code") == canonical.UNMATCHED)
+    return x.groupBy("language", "language_code").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL: dict[str, str] = {}
