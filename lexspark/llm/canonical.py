@@ -106,16 +106,22 @@ def by_name(values: DataFrame, languages: DataFrame) -> DataFrame:
     top = Window.partitionBy("t", "part")
     repaired = near.withColumn("best", F.max("sim").over(top)).filter(F.col("sim") >= F.col("best") - MARGIN).drop("best")
 
-    # soft TF-IDF over words: sum of products of weights of repaired words, by the names that contain them
-    words = v.select("language", F.size("words").alias("k"), F.posexplode("words").alias("i", "t")).join(repaired.filter("part").drop("part"), "t", "left")
+    # soft TF-IDF over words: sum of products of weights of repaired words, by the names that contain them; a word
+    # weighs what its repair in that name weighs, or as much as the rarest if it has none there
+    rare = F.log(n) + 1
+    words = v.select("language", F.size("words").alias("k"), F.posexplode("words").alias("i", "t")).join(repaired.filter("part").drop("part"), "t")
     name_words = ref.select("name_id", "iso_code", F.explode(F.array_distinct("words")).alias("token"))
     norms = name_words.join(vocabulary.filter("part").select("token", "idf"), "token").groupBy("name_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
-    own = words.groupBy("language", "i").agg(F.max(F.coalesce("idf", n * 0 + F.log(n) + 1)).alias("w")).groupBy("language").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("own"))
-    hits = words.filter("token is not null").join(F.broadcast(name_words), "token").groupBy("language", "name_id", "iso_code", "token").agg(F.max(F.col("sim") * F.col("idf") ** 2).alias("p"))
-    by_word = hits.groupBy("language", "name_id", "iso_code").agg(F.sum("p").alias("p")).join(F.broadcast(norms), "name_id").join(own, "language")
+    # a word of the name goes to the entered word closest to it
+    closest = Window.partitionBy("language", "name_id", "token")
+    hits = words.join(F.broadcast(name_words), "token").withColumn("top", F.max("sim").over(closest)).filter("sim = top").groupBy("language", "k", "name_id", "iso_code", "i").agg(F.max(F.struct(F.col("sim") * F.col("idf") ** 2, "token", "idf")).alias("m"))
+    hits = hits.select("language", "k", "name_id", "iso_code", "i", F.col("m.col1").alias("p"), "m.token", "m.idf")
+    once = hits.groupBy("language", "k", "name_id", "iso_code", "token").agg(F.max("p").alias("p"), F.max("idf").alias("idf"), F.count("*").alias("used"))
+    own = F.sqrt(F.sum(F.col("used") * F.col("idf") ** 2) + (F.col("k") - F.sum("used")) * rare**2)
+    by_word = once.groupBy("language", "k", "name_id", "iso_code").agg(F.sum("p").alias("p"), own.alias("own")).join(F.broadcast(norms), "name_id")
     by_word = by_word.select("language", "iso_code", (F.col("p") / (F.col("norm") * F.col("own"))).alias("score"))
     # the same for the value as a whole
-    whole = v.select("language", F.col("whole").alias("t")).join(repaired.filter("not part").drop("part"), "t")
+    whole = v.filter(F.array_min(F.transform("words", F.length)) > 1).select("language", F.col("whole").alias("t")).join(repaired.filter("not part").drop("part"), "t")
     by_whole = whole.join(F.broadcast(ref.select(F.col("whole").alias("token"), "iso_code")), "token").select("language", "iso_code", F.col("sim").alias("score"))
     best = by_word.unionByName(by_whole).groupBy("language", "iso_code").agg(F.max("score").alias("score")).filter(F.col("score") >= MIN_SCORE)
     r = Window.partitionBy("language").orderBy(F.desc("score"))
