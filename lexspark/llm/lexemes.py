@@ -15,14 +15,14 @@ from lexspark.llm.lookalike import HOMOGLYPHS
 #: Words that definitions are built with, without meaning of their own.
 FUNCTION_WORDS = (
     "a an the in of for with which that what is was were be being to by as and or one any made kept used done said looks look serves serve like fit manner good apt "
-    "especially means work sort kind way it its at on from arch obs fig"
+    "especially means work kind way it its at on from arch obs fig"
 ).split()
 #: Stand-ins for a definition.
 DEFINITION_STAND_INS = ("", "—", "-", "–", "tbd", "n/a", "?", "see main entry", "(no definition given)", "(definition not extracted)", "none", "null", "...", "…", "unknown")
 #: Stand-ins for a pronunciation.
 PHONETIC_STAND_INS = ("", "n/a", "//", "-", "[?]", "?", "—", "–", "tbd", "none", "null", "/", "[]", "...")
 #: A definition ends in one of these only if the rest is missing.
-CUT_END = r"(?:\.\.\.|…|\[(?:cut|\.\.\.|…|truncated)\]|[,;:(]|\b(?:a|an|the|of|for|with|which|that|to|by|as|and|one|is|was|were|being|used|kept|made|done|means|especially))\s*$"
+CUT_END = r"(?:\.\.\.|…|\[(?:cut|\.\.\.|…|truncated)\]|[,;:(]|\b(?:a|an|the|of|for|with|which|that|to|by|as|and|one|being|used|kept|made|done|means|especially))\s*$"
 
 
 def _skeleton_map() -> tuple[str, str]:
@@ -33,6 +33,7 @@ def _skeleton_map() -> tuple[str, str]:
         for c in g:
             if c.isalpha() and c.lower() != first:
                 out[c] = first
+                out.setdefault(c.lower(), first)
     for cp in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFF21, 0xFF5B)]:
         c = chr(cp)
         base = unicodedata.normalize("NFKD", c)[:1].lower()
@@ -44,11 +45,14 @@ def _skeleton_map() -> tuple[str, str]:
 
 
 FROM, TO = _skeleton_map()
+LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
 
 
 def skeleton(form: Column) -> Column:
     """The letters of a form without case, accents, width, look-alikes, spaces, marks of editing and remarks in brackets."""
     x = F.regexp_replace(F.lower(form), r"\([^)]*\)|[\x{b9}\x{b2}\x{b3}0-9]", "")
+    for wide, plain in LIGATURES.items():
+        x = F.replace(x, F.lit(wide), F.lit(plain))
     x = F.translate(F.translate(x, FROM, TO), FROM, TO)
     return F.regexp_replace(x, r"[^\p{L}]", "")
 
@@ -79,6 +83,7 @@ def stems(definition: Column) -> Column:
     """The content words of a definition, stemmed, sorted, with repeats; domain and usage labels don't count."""
     x = F.regexp_replace(F.lower(definition), r"^\s*(?:\([^)]*\)\s*)?(?:in [\p{L} ]+:)?|\[cut\]", "")
     x = F.regexp_replace(x, r"\bsort, for\b|\bsort,?\s*$|-like\b", " ")
+    x = F.regexp_replace(x, r"(?<=\p{L})-(?=\p{L})", "")
     w = F.filter(F.split(x, r"[^\p{L}]+"), lambda t: (t != "") & ~F.array_contains(F.array(*map(F.lit, FUNCTION_WORDS)), t))
 
     def stem(t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import canonical, encoding, lookalike, residue
+from lexspark.llm import canonical, encoding, lookalike, matching, residue, survivors
 from lexspark.sources.tables import table
 
 
@@ -64,5 +64,31 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("language", "language_code").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+_META = (
+    "id", "form_orthographic", "form_normalized", "form_phonetic", "language_code", "date_start", "date_end", "period_label",
+    "definition_primary", "part_of_speech", "source_databases", "confidence_overall", "human_validated", "updated_at",
+)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.field_survivors(table(spark, d, "lsr_metadata", *_META)).select("lsr_id", "field").distinct()
+
+
+def p4_merged(spark: SparkSession, d: str) -> DataFrame:
+    """One record per duplicate group."""
+    return survivors.merged(table(spark, d, "lsr_metadata", *_META))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with the rule that found them and its confidence."""
+    e = table(spark, d, "raw_entries", "entry_id", "form", "form_phonetic", "language", "language_code", "definitions", "part_of_speech")
+    m = table(spark, d, "lsr_metadata", "id", "form_orthographic", "form_normalized", "form_phonetic", "language_code", "definition_primary", "part_of_speech")
+    return matching.match(e, m, table(spark, d, "languages"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).select("entry_id", "lsr_id").distinct()
+
+
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p4_found": p4_found, "p4_merged": p4_merged, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL: dict[str, str] = {}
