@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import canonical, encoding
 from lexspark.llm import lexemes as X
-from lexspark.llm.survivors import broken_ends, canonical_stems, synonym_map
+from lexspark.llm.survivors import broken_ends, canonical_stems, synonym_map, wordings
 from lexspark.session import written
 
 #: Prior of the labelled precision: as if a of a + b labelled pairs had been right.
@@ -108,7 +108,7 @@ def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFram
     """(entry_id, lsr_id, rule, confidence): every pair, by its first rule. Empty tables give no pairs."""
     e, r = written(_with_words(entry_classes(entries, languages))), written(_with_words(record_classes(meta.dropDuplicates(["id"]))))
     words = e.select("iso", "sk", "w", "broken").unionByName(r.select("iso", "sk", "w", "broken")).filter("w is not null and not broken")
-    same = synonym_map(words.select(F.concat_ws("|", "iso", "sk").alias("k"), "w"))
+    same = synonym_map(words.select(F.concat_ws("|", "iso", "sk").alias("k"), "w").unionByName(wordings(entries)))
     e, r = _senses(e, same), _senses(r, same)
     key = ["iso", "sk", "pos", "sense", "part"]
     e = e.withColumn("e_id", F.xxhash64(*key))

@@ -71,12 +71,12 @@ _META = (
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.field_survivors(table(spark, d, "lsr_metadata", *_META)).select("lsr_id", "field").distinct()
+    return survivors.field_survivors(table(spark, d, "lsr_metadata", *_META), table(spark, d, "raw_entries", "entry_id", "definitions")).select("lsr_id", "field").distinct()
 
 
 def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     """One record per duplicate group."""
-    return survivors.merged(table(spark, d, "lsr_metadata", *_META))
+    return survivors.merged(table(spark, d, "lsr_metadata", *_META), table(spark, d, "raw_entries", "entry_id", "definitions"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
