@@ -53,7 +53,7 @@ def record_classes(meta: DataFrame) -> DataFrame:
 
 
 def _with_words(x: DataFrame) -> DataFrame:
-    x = broken_ends(x).withColumn("broken", F.coalesce(X.seems_cut(F.col("def")) | F.col("stub"), F.lit(False)))
+    x = broken_ends(written(x)).withColumn("broken", F.coalesce(X.seems_cut(F.col("def")) | F.col("stub"), F.lit(False)))
     return x.withColumn("w", X.stems(F.col("def"))).drop("stub", "def")
 
 
@@ -122,6 +122,7 @@ def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFram
         open_ = open_.join(hit.select("e_id").distinct(), "e_id", "left_anti")
     # records of the same word whose own sense is missing or cut off stand for the same sense, if the form has one
     found = found.unionByName(_siblings(found, ec, rc)).groupBy("e_id", "r_id").agg(F.min(F.struct("rule_no", "rule")).alias("x")).select("e_id", "r_id", "x.rule_no", "x.rule")
+    found = written(found)
     found = found.join(_confidence(found, ec, rc), "rule")
     pairs = found.join(e.select("e_id", "entry_id").distinct(), "e_id").join(r.select("r_id", "lsr_id").distinct(), "r_id")
     return pairs.groupBy("entry_id", "lsr_id").agg(F.min(F.struct("rule_no", "rule", "confidence")).alias("x")).select("entry_id", "lsr_id", "x.rule", "x.confidence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import canonical, encoding, lookalike, matching, residue, survivors
+from lexspark.llm import canonical, encoding, lookalike, matching, residue, scans, survivors
 from lexspark.sources.tables import table
 
 
@@ -90,5 +90,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pairs(spark, d).select("entry_id", "lsr_id").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p4_found": p4_found, "p4_merged": p4_merged, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+def _quotations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "attestations", "id", "text_excerpt", "text_source", "page_reference")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(_quotations(spark, d)).distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_quotations(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_pairs": p5_pairs, "p4_found": p4_found, "p4_merged": p4_merged, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL: dict[str, str] = {}
