@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm import canonical, encoding, lookalike, matching, residue, scans, survivors
+from lexspark.llm import canonical, encoding, leakage, lookalike, matching, residue, scans, survivors
 from lexspark.sources.tables import table
 
 
@@ -102,5 +102,22 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(_quotations(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_pairs": p5_pairs, "p4_found": p4_found, "p4_merged": p4_merged, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Removal spans in words, overlapping ones of a document merged, with the number of items in them."""
+    x = _leaks(spark, d)
+    w = Window.partitionBy("doc_id").orderBy("first_word", "end_word")
+    before = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("new", F.when(F.col("first_word") <= before, 0).otherwise(1)).withColumn("span", F.sum("new").over(w))
+    return x.groupBy("doc_id", "span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.count_distinct("item_id").alias("items"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_pairs": p5_pairs, "p4_found": p4_found, "p4_merged": p4_merged, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL: dict[str, str] = {}
