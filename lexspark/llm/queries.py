@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm import canonical, encoding, leakage, lookalike, matching, residue, scans, survivors
+from lexspark.llm import canonical, encoding, leakage, lookalike, matching, packing, residue, scans, survivors
 from lexspark.sources.tables import table
 
 
@@ -119,5 +119,13 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("doc_id", "span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.count_distinct("item_id").alias("items"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_pairs": p5_pairs, "p4_found": p4_found, "p4_merged": p4_merged, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, d), table(spark, d, "container_sizes"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_pairs": p5_pairs, "p4_found": p4_found, "p4_merged": p4_merged, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_rewritten": p6_rewritten, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL: dict[str, str] = {}
