@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import references
+from lexspark.plans import dating, records, references
 
-FLAGSHIP = "p3_found"
-_MODULES = (references,)
+FLAGSHIP = "text_dating"
+_MODULES = (dating, records, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
