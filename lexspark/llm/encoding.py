@@ -61,7 +61,8 @@ def _suspect_pattern() -> str:
         lead = _chars(c for c, b in TABLES[n].items() if 0xC2 <= b <= (0xDF if n in OTHER_SCRIPT else 0xF4) or b == 0xE2)
         cont = _chars(c for c, b in TABLES[n].items() if 0x80 <= b <= 0xBF)
         parts.append(f"[{lead}][{cont}]")
-    return "|".join(parts) + f"|[{LOST_JAVA}]|[{_chars(map(chr, [*range(0xC0, 0x100), 0xA2]))}]{{3}}|{STRAY.pattern}"
+    # ASCII characters are passed over by one test
+    return "(?=[^\\x{00}-\\x{7f}])(?:" + "|".join(parts) + f"|[{LOST_JAVA}]|[{_chars(map(chr, [*range(0xC0, 0x100), 0xA2]))}]{{3}}|{STRAY.pattern})"
 
 
 #: Characters that no text of these tables has by itself: controls, the replacement character, boxes.

@@ -35,7 +35,10 @@ RATIO = 5
 MIN_TRUST, PRIOR = 0.75, 2.0
 MIN_LETTERS = 3
 #: Signs inside or at words that no word has.
-SYMBOL = r"\p{L}[0-9@|+$]\p{L}|\p{L}{2}[0-9@|+$](?![\p{L}\d])|(?<![\p{L}\d£$,.])(?!\d+(?:st|nd|rd|th)\b|\d+[rv]\b)[0-9@|+$]+\p{L}{2}|\p{Ll}I|ſ"
+SYMBOL = (
+    r"(?=[0-9@|+$])(?:(?<=\p{L})[0-9@|+$](?=\p{L})|(?<=\p{L}{2})[0-9@|+$](?![\p{L}\d])"
+    r"|(?<![\p{L}\d£$,.])(?!\d+(?:st|nd|rd|th)\b|\d+[rv]\b)[0-9@|+$]+\p{L}{2})|(?<=\p{Ll})I|ſ"
+)
 #: A word broken at a line's end.
 BROKEN = r"\p{L}[-‐\x{ad}¬=][ \t]*\n|\x{ad}[ \t]*\n|\p{L}\x{fffd}{1,3}[ \t]*\n"
 #: A line with nothing but a page number, with or without ornaments and misread digits.
@@ -74,7 +77,7 @@ def prepared(attestations: DataFrame) -> DataFrame:
     x = x.withColumn("broken", lines & F.col("text").rlike(BROKEN))
     x = x.withColumn("furniture", F.when(lines, F.exists(F.split("text", "\n"), lambda s: is_furniture(s, F.col("text_source")))).otherwise(False))
     x = x.withColumn("symbol", F.col("text").rlike(SYMBOL))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= MIN_LETTERS))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     bad_ref = F.coalesce((F.col("ref") != "") & ~F.col("ref").rlike(REFERENCE), F.lit(False))
     return x.select("id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("broken", "furniture", "symbol")], bad_ref.alias("bad_ref"), words.alias("words"))
 
@@ -82,7 +85,7 @@ def prepared(attestations: DataFrame) -> DataFrame:
 def corrections(x: DataFrame) -> DataFrame:
     """(word, right, trust): the best trusted correction of each misread word. x: prepared texts."""
     damaged = (F.col("broken") | F.col("furniture") | F.col("symbol")).cast("int")
-    words = x.select(damaged.alias("d"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("d").alias("d"))
+    words = x.select(damaged.alias("d"), F.explode("words").alias("word")).filter(F.length("word") >= MIN_LETTERS).groupBy("word").agg(F.count("*").alias("n"), F.sum("d").alias("d"))
     words = written(words.withColumn("h", _hash(F.col("word"))))
     kinds = [k.split(">") for k in CONFUSIONS.split()]
     options = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(_py_hash(b) - _py_hash(a)).cast("bigint").alias("delta")) for a, b in kinds])
