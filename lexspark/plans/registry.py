@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import dating, records, references
+from lexspark.plans import contact, dating, drift, graph, records, references
 
 FLAGSHIP = "text_dating"
-_MODULES = (dating, records, references)
+_MODULES = (dating, records, contact, drift, graph, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
