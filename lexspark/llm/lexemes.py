@@ -105,9 +105,10 @@ def synonyms(words: DataFrame, support: int = 3, share: float = 0.1) -> DataFram
     d = words.select("k", "w").distinct().filter("size(w) between 2 and 8")
     x = d.select("k", "w", F.posexplode("w").alias("i", "word"))
     rest = F.concat_ws(" ", F.filter("w", lambda t, j: j != F.col("i")))
-    holes = x.select("k", rest.alias("rest"), "word").groupBy("k", "rest").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.count_distinct("word").alias("n"))
-    pairs = holes.filter("n = 2").groupBy("a", "b").agg(F.count_distinct("k").alias("n"))
-    freq = x.groupBy("word").agg(F.approx_count_distinct("k", 0.01).alias("f"))
+    # keys and stems are distinct: a count of rows is a count of words in the open place
+    holes = x.groupBy("k", rest.alias("rest")).agg(F.min("word").alias("a"), F.max("word").alias("b"), F.count("*").alias("n"))
+    pairs = holes.filter("n = 2 and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    freq = x.groupBy("word").agg(F.count("*").alias("f"))
     p = pairs.join(freq.withColumnsRenamed({"word": "a", "f": "fa"}), "a").join(freq.withColumnsRenamed({"word": "b", "f": "fb"}), "b")
     p = p.filter((F.col("n") >= support) & (F.col("n") >= share * F.least("fa", "fb")))
     first = (F.col("fa") > F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")))
