@@ -24,12 +24,13 @@ def shift_type(before: Column, after: Column) -> Column:
     """The type whose words were won most between two definitions; else by length; unknown without either."""
     a, b = F.lower(before), F.lower(after)
 
-    def score(words: list[str]) -> Column:
-        return sum((F.contains(b, F.lit(w)).cast("int") - F.contains(a, F.lit(w)).cast("int") for w in words), F.lit(0))
+    def count(text: Column, words: list[str]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
 
-    scores = [(k, score(ws)) for k, ws in SHIFT_WORDS.items()]
-    top = F.greatest(*[x for _, x in scores])
-    best = F.coalesce(*[F.when((x == top) & (top > 0), F.lit(k)) for k, x in scores])
+    # of equal scores the first type in order
+    scores = F.array(*[F.struct((count(b, ws) - count(a, ws)).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, ws) in enumerate(SHIFT_WORDS.items())])
+    top = F.array_max(scores)
+    best = F.when(top["score"] > 0, top["kind"])
     ratio = F.length(b) / F.nullif(F.length(a), F.lit(0))
     by_length = F.when(ratio > 1.5, "generalization").when(ratio < 0.7, "specialization").otherwise("general")
     missing = before.isNull() | after.isNull() | (before == "") | (after == "")

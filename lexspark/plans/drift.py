@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import vectors as V
 from lexspark.operators import drift as D
 from lexspark.operators.drift import shift_type
+from lexspark.schema import SHIFT_WORDS
 from lexspark.sources.tables import table
 
 
@@ -41,6 +42,8 @@ v as (select form, lang, 1000 + 2 * vec_id as date, vec from v0 union all select
 l as (select *, lag(vec) over (partition by form, lang order by date) as before from v),
 m as (select *, case when before is null then 0.0 else least(1.0, greatest(0.0, 1 - list_cosine_similarity(before, vec))) end as m from l),
 t as (select form, lang, count(*) as points, sum(m) as tot, sum(case when m > 0.2 then m else 0 end) as shifted, arg_max(vec, date) as final from m group by all)"""
+_COUNT = lambda t, ws: "len(list_filter([" + ", ".join(f"'{w}'" for w in ws) + f"], lambda w: contains({t}, w)))"
+_SCORES = ", ".join(f"{{'s': {_COUNT('b', ws)} - {_COUNT('a', ws)}, 'o': {-i}, 'k': '{k}'}}" for i, (k, ws) in enumerate(SHIFT_WORDS.items()))
 QUERIES = {
     "trajectory_points": lambda s, d: D.points(series(s, d)),
     "semantic_shifts": lambda s, d: D.shifts(series(s, d)),
@@ -51,11 +54,14 @@ QUERIES = {
     "definition_shifts": definition_shifts,
 }
 SQL = {
+    "definition_shifts": f"""with x as (select m.id, lower(n.definition) as a, lower(m.definition_primary) as b from lsr_metadata m join graph_nodes n on neo4j_id = node_id),
+y as (select *, list_max([{_SCORES}]) as top from x)
+select case when a is null or b is null or a = '' or b = '' then 'unknown' when top.s > 0 then top.k when length(b) / length(a) > 1.5 then 'generalization' when length(b) / length(a) < 0.7 then 'specialization' else 'general' end as shift_type, count(*) as n from y group by 1""",
     "trajectory_points": f"""with {_V} select form, lang, date as id, date, round(list_sum(list_filter(vec, lambda x, i: (i - 1) % 2 = 0)) / len(vec) * 2, 4) as x, round(list_sum(list_filter(vec, lambda x, i: (i - 1) % 2 = 1)) / len(vec) * 2, 4) as y from v""",
     "semantic_shifts": f"with {_V} select form, lang, date as id, date, round(m, 4) as magnitude from m where m > 0.2",
     "drift_stability": f"with {_V} select form, lang, points, round(tot, 4) as total, round(case when points < 2 then 1.0 else greatest(0.0, 1 - shifted / points) end, 4) as stability from t",
     "trajectory_divergence": f"with {_V} select a.form, a.lang as a, b.lang as b, round(0.7 * least(1.0, greatest(0.0, 1 - list_cosine_similarity(a.final, b.final))) + 0.3 * least(1.0, abs(round(a.tot, 4) - round(b.tot, 4))), 4) as divergence from t a join t b on a.form = b.form and a.lang < b.lang",
     "vector_centroids": f"with {_V}, x as (select form, unnest(vec) as v, generate_subscripts(vec, 1) - 1 as place from v) select form, place, round(avg(v), 6) as mean from x group by all",
-    "cosine_topk": f"""with {_V}, x as (select form, unnest(vec) as v, generate_subscripts(vec, 1) as place from v), c as (select form, place, round(avg(v), 6) as mean from x group by all), l as (select form, list(mean order by place) as c from c group by 1),
-r as (select a.form as a, b.form as b, round(list_cosine_similarity(a.c, b.c), 6) as cosine from l a join l b on a.form <> b.form), k as (select *, row_number() over (partition by a order by cosine desc, b) as rank from r) select a, b, rank, cosine from k where rank <= 5""",
+    "cosine_topk": f"""with {_V}, x as (select form, unnest(vec) as v, generate_subscripts(vec, 1) as place from v), c as (select form, place, round(avg(v), 6) as mean from x group by all), cl as (select form, list(mean order by place) as c from c group by 1),
+r as (select a.form as a, b.form as b, round(list_cosine_similarity(a.c, b.c), 6) as cosine from cl a join cl b on a.form <> b.form), k as (select *, row_number() over (partition by a order by cosine desc, b) as rank from r) select a, b, rank, cosine from k where rank <= 5""",
 }
