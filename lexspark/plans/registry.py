@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import contact, dating, drift, graph, records, references
+from lexspark.plans import contact, dating, drift, graph, records, references, resolve, wikitext
 
 FLAGSHIP = "text_dating"
-_MODULES = (dating, records, contact, drift, graph, references)
+_MODULES = (dating, records, resolve, contact, drift, graph, wikitext, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
