@@ -15,12 +15,12 @@ its definitions; without a usable definition on either side only a form with a s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm import canonical, encoding
 from lexspark.llm import lexemes as X
-from lexspark.llm.survivors import broken_ends, canonical_stems, synonym_map, wordings
+from lexspark.llm.survivors import SHORT_SHARE, canonical_stems, synonym_map, wordings
 from lexspark.session import written
 
 #: Prior of the labelled precision: as if a of a + b labelled pairs had been right.
@@ -37,110 +37,114 @@ def _sound(c: Column) -> Column:
     return X.skeleton(F.translate(c, "ɔɛɾɡθʃəːˈ", "oergtsə"))
 
 
-def entry_classes(entries: DataFrame, languages: DataFrame) -> DataFrame:
+def entry_senses(entries: DataFrame, languages: DataFrame) -> DataFrame:
     """One row per entry and definition: entry_id, iso, sk, pos, sound, def. Without definitions one row with null."""
     e = canonical.resolve(entries, languages).filter(F.col("iso_code") != canonical.UNMATCHED)
-    e = e.withColumn("sk", X.skeleton(encoding.repaired(F.col("form")))).filter("sk <> ''")
+    e = e.withColumn("form", encoding.repaired(F.col("form")))
     defs = F.filter(F.transform("definitions", X.real_definition), lambda x: x.isNotNull())
-    e = e.withColumn("defs", F.when(F.size(defs) > 0, defs).otherwise(F.array(F.lit(None).cast("string"))))
-    return e.select("entry_id", F.col("iso_code").alias("iso"), "sk", F.concat_ws(",", F.array_sort("part_of_speech")).alias("pos"), _sound(X.real_phonetic(F.col("form_phonetic"))).alias("sound"), F.explode("defs").alias("def"))
+    e = e.withColumn("defs", defs).withColumn("defs", F.when(F.size("defs") > 0, F.col("defs")).otherwise(F.array(F.lit(None).cast("string"))))
+    return e.select("entry_id", F.col("iso_code").alias("iso"), X.skeleton(F.col("form")).alias("sk"), F.concat_ws(",", F.array_sort("part_of_speech")).alias("pos"), _sound(X.real_phonetic(F.col("form_phonetic"))).alias("sound"), F.explode("defs").alias("def"))
 
 
-def record_classes(meta: DataFrame) -> DataFrame:
-    form = X.skeleton(F.coalesce(F.when(F.trim("form_orthographic") != "", F.col("form_orthographic")), F.col("form_normalized")))
-    m = meta.withColumn("sk", form).filter("sk <> '' and language_code is not null")
-    return m.select(F.col("id").alias("lsr_id"), F.col("language_code").alias("iso"), "sk", F.concat_ws(",", F.array_sort("part_of_speech")).alias("pos"), _sound(X.real_phonetic(F.col("form_phonetic"))).alias("sound"), X.real_definition(F.col("definition_primary")).alias("def"))
+def record_senses(meta: DataFrame) -> DataFrame:
+    form = F.coalesce(F.when(F.trim("form_orthographic") != "", F.col("form_orthographic")), F.col("form_normalized"))
+    m = meta.filter("language_code is not null")
+    return m.select(F.col("id").alias("lsr_id"), F.col("language_code").alias("iso"), X.skeleton(form).alias("sk"), F.concat_ws(",", F.array_sort("part_of_speech")).alias("pos"), _sound(X.real_phonetic(F.col("form_phonetic"))).alias("sound"), X.real_definition(F.col("definition_primary")).alias("def"))
 
 
 def _with_words(x: DataFrame) -> DataFrame:
-    x = broken_ends(written(x)).withColumn("broken", F.coalesce(X.seems_cut(F.col("def")) | F.col("stub"), F.lit(False)))
-    return x.withColumn("w", X.stems(F.col("def"))).drop("stub", "def")
+    """Written out with the words of the definition in place of it; forms without a letter end here."""
+    x = x.withColumn("w", X.stems(F.col("def"))).withColumn("cut", F.coalesce(X.seems_cut(F.col("def")), F.lit(False))).drop("def")
+    return written(x).filter("sk <> ''")
 
 
-def _senses(x: DataFrame, same: Column | None) -> DataFrame:
+KEY = ["iso", "sk", "pos", "sense", "part"]
+
+
+def _senses(x: DataFrame, same: Column | None, usual: int) -> DataFrame:
+    """With the canonical words cw, `sense` of whole definitions and `part` of others, and a class id."""
     x = x.withColumn("cw", canonical_stems(F.col("w"), same)).drop("w")
-    whole = ~F.col("broken") & (F.size("cw") > 2)
-    return x.withColumn("sense", F.when(whole, F.concat_ws(" ", "cw"))).withColumn("part", F.when(~whole & (F.size("cw") > 0), F.concat_ws(" ", "cw")))
+    whole = ~F.col("cut") & (F.size("cw") >= usual)
+    x = x.withColumn("sense", F.when(whole, F.concat_ws(" ", "cw"))).withColumn("part", F.when(~whole & (F.size("cw") > 0), F.concat_ws(" ", "cw")))
+    return x.withColumn("c_id", F.xxhash64(*KEY)).drop("cut")
+
+
+def _classes(x: DataFrame) -> DataFrame:
+    return x.groupBy("c_id", *KEY).agg(F.first("cw").alias("cw"), F.max("sound").alias("sound")).withColumn("loose", X.loose(F.col("sk")))
 
 
 def _edits(a: str, b: str) -> Column:
     return F.levenshtein(F.col(a), F.col(b)) <= F.least(F.lit(VARIANT_EDITS), F.ceil(F.greatest(F.length(a), F.length(b)) * VARIANT_SHARE))
 
 
-def _rules(e: DataFrame, r: DataFrame):
-    """(name, class pairs) of each rule for the entry classes still open; r has the record classes."""
-    def named(x: DataFrame) -> DataFrame:
-        return x.select("e_id", "r_id")
+#: The rules in order. The first three want a whole sense, the last two a form with one sense only.
+RULES = ("form and sense", "loose form and sense", "sense and variant form", "form and partial sense", "loose form and partial sense", "form alone", "loose form alone")
+BARE = "record of the only sense"
+
+
+def _passes(r: DataFrame):
+    """Joins of the open entry classes with the record classes, each labelling its pairs with a rule's number or null.
 
-    whole_r = r.filter("sense is not null")
-    yield "form and sense", lambda o: named(o.filter("sense is not null").join(whole_r, ["iso", "sk", "sense"]))
-    yield "loose form and sense", lambda o: named(o.filter("sense is not null").join(whole_r.drop("sk"), ["iso", "loose", "sense"]))
+    A pass has one equi-key; rules that share it differ in what else agrees. r has prefixed columns.
+    """
+    whole = r.filter("r_sense is not null")
+    sk = F.col("sk") == F.col("r_sk")
 
-    def variant(o: DataFrame) -> DataFrame:
-        # a sense is shared by few forms of a language: classes are distinct forms here
-        x = o.filter("sense is not null").join(whole_r.withColumnRenamed("sk", "rsk"), ["iso", "sense"])
-        return named(x.filter(_edits("sk", "rsk")))
+    def keyed(o: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        on = [o[k] == right[f"r_{k}"] for k in keys]
+        cond = on[0]
+        for c in on[1:]:
+            cond = cond & c
+        return o.join(right, cond)
 
-    yield "sense and variant form", variant
+    yield lambda o: keyed(o.filter("sense is not null"), whole, "iso", "loose", "sense").withColumn("rule", F.when(sk, 0).otherwise(1))
+    # distinct forms of one sense are few: repeated ones are one class here
+    yield lambda o: keyed(o.filter("sense is not null"), whole, "iso", "sense").withColumn("rule", F.when(_edits("sk", "r_sk"), 2))
 
-    def partial(o: DataFrame, key: str) -> DataFrame:
-        x = o.filter("cw is not null").join(r.filter("cw is not null").select("iso", key, "r_id", F.col("cw").alias("rw"), F.col("part").alias("rpart")), ["iso", key])
-        a, b = F.least(F.size("cw"), F.size("rw")), F.size(F.array_intersect("cw", "rw"))
-        # two whole senses that differ in a word are the same reworded; a part must be contained in the whole
-        return named(x.filter((b >= PARTIAL_WORDS) & (b >= a - 1)))
+    def rest(o: DataFrame) -> DataFrame:
+        x = keyed(o, r.filter("not r_bare"), "iso", "loose")
+        a, b = F.least(F.size("cw"), F.size("r_cw")), F.size(F.array_intersect("cw", "r_cw"))
+        # two whole senses that differ in a word are one reworded; a part must be contained but for its broken end
+        partial = F.coalesce((b >= PARTIAL_WORDS) & (b >= a - 1), F.lit(False))
+        few = (F.coalesce(F.size("cw"), F.lit(0)) < PARTIAL_WORDS) | (F.coalesce(F.size("r_cw"), F.lit(0)) < PARTIAL_WORDS)
+        same_pos = (F.col("pos") == F.col("r_pos")) | (F.col("pos") == "") | (F.col("r_pos") == "")
+        alone = few & same_pos & F.when(sk, F.col("r_one_sk")).otherwise(F.col("r_one_loose"))
+        return x.withColumn("rule", F.when(partial & sk, 3).when(partial, 4).when(alone & sk, 5).when(alone, 6))
 
-    yield "form and partial sense", lambda o: partial(o, "sk")
-    yield "loose form and partial sense", lambda o: partial(o, "loose")
+    yield rest
 
-    def open_sense(o: DataFrame, key: str) -> DataFrame:
-        """One side has no sense, or what is left of it fits any: the form must have a single sense."""
-        senses = r.groupBy("iso", key).agg(F.count_distinct("sense").alias("n_r"), F.min("pos").alias("p1"), F.max("pos").alias("p2"))
-        single = r.join(senses.filter("n_r <= 1"), ["iso", key])
-        x = o.join(single.select("iso", key, "r_id", F.col("cw").alias("rw"), F.col("pos").alias("rpos")), ["iso", key])
-        few = (F.coalesce(F.size("cw"), F.lit(0)) < PARTIAL_WORDS) | (F.coalesce(F.size("rw"), F.lit(0)) < PARTIAL_WORDS)
-        return named(x.filter(few & ((F.col("pos") == F.col("rpos")) | (F.col("pos") == "") | (F.col("rpos") == ""))))
 
-    yield "form alone", lambda o: open_sense(o, "sk")
-    yield "loose form alone", lambda o: open_sense(o, "loose")
+def _record_side(rc: DataFrame) -> DataFrame:
+    """Record classes with what their form's senses are, and a second row for senseless classes of a form with one sense."""
+    by_sk, by_loose = Window.partitionBy("iso", "sk"), Window.partitionBy("iso", "loose")
+    one = lambda w: F.coalesce(F.min("sense").over(w) == F.max("sense").over(w), F.lit(True))
+    rc = rc.withColumn("one_sk", one(by_sk)).withColumn("only", F.min("sense").over(by_sk)).withColumn("one_loose", one(by_loose)).withColumn("bare", F.lit(False))
+    bare = rc.filter("sense is null and one_sk and only is not null").withColumn("sense", F.col("only")).withColumn("bare", F.lit(True))
+    rc = rc.unionByName(bare).drop("only", "part")
+    return rc.select(*[F.col(c).alias(f"r_{c}") for c in rc.columns])
 
 
 def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFrame:
     """(entry_id, lsr_id, rule, confidence): every pair, by its first rule. Empty tables give no pairs."""
-    e, r = written(_with_words(entry_classes(entries, languages))), written(_with_words(record_classes(meta.dropDuplicates(["id"]))))
-    words = e.select("iso", "sk", "w", "broken").unionByName(r.select("iso", "sk", "w", "broken")).filter("w is not null and not broken")
+    e, r = _with_words(entry_senses(entries, languages)), _with_words(record_senses(meta.dropDuplicates(["id"])))
+    words = e.select("iso", "sk", "w", "cut").unionByName(r.select("iso", "sk", "w", "cut")).filter("w is not null and not cut")
+    usual = max(words.select(F.percentile_approx(F.size("w"), SHORT_SHARE)).first()[0] or 0, 2)
     same = synonym_map(words.select(F.concat_ws("|", "iso", "sk").alias("k"), "w").unionByName(wordings(entries)))
-    e, r = _senses(e, same), _senses(r, same)
-    key = ["iso", "sk", "pos", "sense", "part"]
-    e = e.withColumn("e_id", F.xxhash64(*key))
-    r = r.withColumn("r_id", F.xxhash64(*key))
-    ec = written(e.groupBy("e_id", *key).agg(F.first("cw").alias("cw"), F.max("sound").alias("sound")).withColumn("loose", X.loose(F.col("sk"))))
-    rc = written(r.groupBy("r_id", *key).agg(F.first("cw").alias("cw"), F.max("sound").alias("sound")).withColumn("loose", X.loose(F.col("sk"))))
-    found, open_ = None, ec
-    for i, (name, rule) in enumerate(_rules(ec, rc)):
-        hit = written(rule(open_).distinct().withColumn("rule_no", F.lit(i)).withColumn("rule", F.lit(name)))
+    e, r = _senses(e, same, usual), _senses(r, same, usual)
+    open_, rc = written(_classes(e)), written(_record_side(_classes(r)))
+    known = (F.col("sound") != "") & (F.col("r_sound") != "")
+    right = known & (1 - F.levenshtein("sound", "r_sound") / F.greatest(F.length("sound"), F.length("r_sound")) >= SAME_SOUND)
+    found = None
+    for join in _passes(rc):
+        x = join(open_).filter("rule is not null").select("c_id", "r_c_id", "rule", F.col("r_bare").alias("bare"), known.alias("known"), right.alias("right"))
+        hit = written(x.groupBy("c_id", "r_c_id").agg(F.min("rule").alias("rule"), F.min("bare").alias("bare"), F.max("known").alias("known"), F.max("right").alias("right")))
         found = hit if found is None else found.unionByName(hit)
-        open_ = open_.join(hit.select("e_id").distinct(), "e_id", "left_anti")
-    # records of the same word whose own sense is missing or cut off stand for the same sense, if the form has one
-    found = found.unionByName(_siblings(found, ec, rc)).groupBy("e_id", "r_id").agg(F.min(F.struct("rule_no", "rule")).alias("x")).select("e_id", "r_id", "x.rule_no", "x.rule")
+        open_ = open_.join(hit.select("c_id").distinct(), "c_id", "left_anti")
+    # within a pass as well only the first rule of an entry class counts
+    first = found.groupBy("c_id").agg(F.min("rule").alias("rule"))
+    found = found.join(first, ["c_id", "rule"]).withColumn("name", F.when(F.col("bare"), BARE).otherwise(F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)))
     found = written(found)
-    found = found.join(_confidence(found, ec, rc), "rule")
-    pairs = found.join(e.select("e_id", "entry_id").distinct(), "e_id").join(r.select("r_id", "lsr_id").distinct(), "r_id")
-    return pairs.groupBy("entry_id", "lsr_id").agg(F.min(F.struct("rule_no", "rule", "confidence")).alias("x")).select("entry_id", "lsr_id", "x.rule", "x.confidence")
-
-
-def _siblings(found: DataFrame, ec: DataFrame, rc: DataFrame) -> DataFrame:
-    """Pairs with the senseless record classes of a matched record's form, where that form has one sense only."""
-    per = rc.groupBy("iso", "sk").agg(F.count_distinct("sense").alias("n")).filter("n = 1")
-    one = rc.join(per, ["iso", "sk"]).select("iso", "sk", "r_id", "sense")
-    bare = one.filter("sense is null").select("iso", "sk", F.col("r_id").alias("other"))
-    matched = found.join(one.filter("sense is not null"), "r_id").join(bare, ["iso", "sk"])
-    return matched.select("e_id", F.col("other").alias("r_id"), F.lit(90).alias("rule_no"), F.lit("record of the only sense").alias("rule"))
-
-
-def _confidence(found: DataFrame, ec: DataFrame, rc: DataFrame) -> DataFrame:
-    """(rule, confidence) by labelled precision with smoothing."""
-    x = found.join(ec.select("e_id", F.col("sound").alias("a")), "e_id").join(rc.select("r_id", F.col("sound").alias("b")), "r_id")
-    known = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != "") & (F.col("b") != "")
-    right = known & (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= SAME_SOUND)
-    n, k = F.sum(known.cast("double")), F.sum(right.cast("double"))
-    return x.groupBy("rule").agg(((k + PRIOR_RIGHT) / (n + PRIOR_RIGHT + PRIOR_WRONG)).alias("confidence"))
+    trust = found.groupBy("name").agg(((F.count_if("right") + PRIOR_RIGHT) / (F.count_if("known") + PRIOR_RIGHT + PRIOR_WRONG)).alias("confidence"))
+    found = found.join(F.broadcast(trust), "name")  # one row a rule
+    pairs = found.select("c_id", "r_c_id", "name", "confidence").join(e.select("c_id", "entry_id").distinct(), "c_id").join(r.select(F.col("c_id").alias("r_c_id"), "lsr_id"), "r_c_id")
+    return pairs.groupBy("entry_id", "lsr_id").agg(F.max(F.struct("confidence", "name")).alias("x")).select("entry_id", "lsr_id", F.col("x.name").alias("rule"), "x.confidence")
