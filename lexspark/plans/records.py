@@ -79,7 +79,7 @@ QUERIES = {
     "lexicon_overlap_search": lambda s, d: R.search(_M(s, d), date_start=900, date_end=1200, mode="overlap").select("id", "date_start", "date_end"),
     "search_counts": lambda s, d: R.search(_M(s, d), date_start=1500).groupBy("language_code").agg(F.count("*").alias("n")),
     "graph_node_sink": lambda s, d: R.graph_node(_M(s, d)),
-    "search_document_sink": lambda s, d: R.search_document(_M(s, d)).select("id", F.length("document").alias("n"), F.get_json_object("document", "$.form_orthographic").alias("form")),
+    "search_document_sink": lambda s, d: R.search_document(_M(s, d)).select("id", *[F.get_json_object("document", f"$.{f}").alias(f) for f in ("form_orthographic", "language_code", "date_start", "definition_primary")]),
     "rdf_export": lambda s, d: R.n_triples(_M(s, d)),
     "lsr_merge": lambda s, d: R.merged(_M(s, d), ["language_code", "form_normalized"]),
     "entry_conversion": lambda s, d: R.from_entries(_E(s, d)),
@@ -119,6 +119,7 @@ select id, least(date_start, first) as date_start, greatest(date_end, last) as d
     "lexicon_overlap_search": "select id, date_start, date_end from lsr_metadata where date_start is not null and date_end is not null and not (date_end < 900 or date_start > 1200)",
     "search_counts": "select language_code, count(*) as n from lsr_metadata where date_start is null or date_start >= 1500 group by 1",
     "graph_node_sink": "select id, form_orthographic as form, form_normalized, language_code, period_label, date_start, date_end, definition_primary as definition, confidence_overall as confidence, reconstruction_flag as reconstruction from lsr_metadata",
+    "search_document_sink": "select id, form_orthographic, language_code, date_start::varchar as date_start, definition_primary from lsr_metadata",
     "rdf_export": """with x as (select id, unnest(['form_orthographic', 'language_code', 'definition_primary', 'date_start']) as p, unnest([form_orthographic, language_code, definition_primary, cast(date_start as varchar)]) as o from lsr_metadata)
 select '<urn:lsr:' || id || '> <urn:lsr:' || p || '> "' || replace(replace(o, '\\', '\\\\'), '"', '\\"') || '" .' as line from x where o is not null""".replace("\\\\", "\\"),
     "lsr_merge": """with g as (select language_code, form_normalized, min(id) as id, min(date_start) as date_start, max(date_end) as date_end, arg_min(definition_primary, (created_at, id)) as d0, count(*) as version from lsr_metadata group by 1, 2),

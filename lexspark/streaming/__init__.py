@@ -1 +1 @@
-"""streaming of lexspark."""
+"""Structured Streaming operators of lexspark."""
