@@ -134,6 +134,8 @@ def resolve(entries: DataFrame, languages: DataFrame) -> DataFrame:
 
     Distinct pairs are resolved, then joined back: repeated rows come out as often as they went in.
     """
+    entries = entries.drop("iso_code", "score", "exact", "_l", "_k")  # columns of these names give way to the result's
+    languages = languages.select("iso_code", "name", "alt_names")
     pairs = entries.select("language", "language_code").distinct()
     lang, code = F.col("language"), F.col("language_code")
     # a whole value that is a code, in or out of brackets

@@ -5,7 +5,7 @@ shuffle. The alphabet is the vocabulary of the test items (every other word is o
 four-word phrases of the items are searched backwards through the ranks of a wavelet matrix, all at a time;
 occurrences are located by sampled suffix positions. A passage of at least MIN_WORDS words with at most one word in
 six changed keeps three such phrases near one diagonal, so that nothing is lost; these few candidates are verified
-by an exact alignment of item and text. Removal spans of all items of a document are merged.
+by an exact alignment of item and text that begins and ends with words of both. Removal spans of all items of a document are merged.
 
 The test items are the fixed table eval_items and go to every task; documents of any length are indexed whole.
 Null and empty texts, and items of fewer than MIN_WORDS words, have no matches; repeated documents are all found.
@@ -140,16 +140,23 @@ class Items:
         self.places = [np.array(p) for p in places.values()]
 
 
+#: More edits than any item has words.
+FAR = 1 << 20
+
+
 def leaked(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int] | None:
     """(first item word, words, end in text) of the longest passage of item in text within the allowed edits, or None.
 
-    For every first word at once: the edit distance of item[first : first + n] to its best span of text, n by n.
+    A passage begins and ends with words that are in the text: words changed at its edges aren't part of it, else any
+    phrase of thirteen words would make one of fifteen. For every first word at once, size by size, the edit distance
+    of item[first : first + size] to its best span of text that begins with the first word.
     """
     m, n = len(item), len(text)
     if not n:
         return None
     firsts = np.arange(m)
-    dist = np.zeros((m, n + 1), np.int32)
+    dist = np.full((m, n + 1), FAR, np.int32)
+    dist[:, :n][item[:, None] == text[None, :]] = 0
     offset = np.arange(n + 1, dtype=np.int32)
     best: tuple[int, int, int] | None = None
     for size in range(1, m + 1):
@@ -160,11 +167,12 @@ def leaked(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int] | None:
         np.minimum(new[:, 1:], dist[:, :-1] + differ, out=new[:, 1:])
         dist = np.minimum.accumulate(new - offset, axis=1) + offset
         if size >= MIN_WORDS:
-            least = dist.min(axis=1)
+            ending = np.where(differ, FAR, dist[:, 1:])
+            least = ending.min(axis=1)
             ok = np.flatnonzero(least <= size // ONE_IN)
             if len(ok):
                 k = ok[np.argmin(least[ok])]
-                best = (int(firsts[k]), size, int(dist[k].argmin()))
+                best = (int(firsts[k]), size, int(ending[k].argmin()) + 1)
     return best
 
 

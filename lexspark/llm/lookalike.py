@@ -192,6 +192,7 @@ def character_counts(values: DataFrame) -> dict[str, dict[str, int]]:
 def field_values(records: DataFrame, languages: DataFrame) -> DataFrame:
     """(lsr_id, field, context, value) of all three fields; languages is the fixed canonical list, hence broadcast."""
     scripts = F.broadcast(languages.select(F.col("iso_code").alias("language_code"), "script").dropDuplicates(["language_code"]))
+    records = records.select("id", "language_code", *FORM_FIELDS, *PHONETIC_FIELDS)
     x = records.join(scripts, "language_code", "left")
 
     def part(f: str, context: Column) -> Column:

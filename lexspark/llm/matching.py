@@ -39,6 +39,7 @@ def _sound(c: Column) -> Column:
 
 def entry_senses(entries: DataFrame, languages: DataFrame) -> DataFrame:
     """One row per entry and definition: entry_id, iso, sk, pos, sound, def. Without definitions one row with null."""
+    entries = entries.select("entry_id", "form", "form_phonetic", "language", "language_code", "definitions", "part_of_speech")
     e = canonical.resolve(entries, languages).filter(F.col("iso_code") != canonical.UNMATCHED)
     e = e.withColumn("form", encoding.repaired(F.col("form")))
     defs = F.filter(F.transform("definitions", X.real_definition), lambda x: x.isNotNull())

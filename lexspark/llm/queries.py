@@ -64,19 +64,13 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("language", "language_code").agg(F.count("*").alias("n"))
 
 
-_META = (
-    "id", "form_orthographic", "form_normalized", "form_phonetic", "language_code", "date_start", "date_end", "period_label",
-    "definition_primary", "part_of_speech", "source_databases", "confidence_overall", "human_validated", "updated_at",
-)
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.field_survivors(table(spark, d, "lsr_metadata", *_META), table(spark, d, "raw_entries", "entry_id", "definitions")).select("lsr_id", "field").distinct()
+    return survivors.field_survivors(table(spark, d, "lsr_metadata", *survivors.COLUMNS), table(spark, d, "raw_entries", "entry_id", "definitions")).select("lsr_id", "field").distinct()
 
 
 def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     """One record per duplicate group."""
-    return survivors.merged(table(spark, d, "lsr_metadata", *_META), table(spark, d, "raw_entries", "entry_id", "definitions"))
+    return survivors.merged(table(spark, d, "lsr_metadata", *survivors.COLUMNS), table(spark, d, "raw_entries", "entry_id", "definitions"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
