@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +18,21 @@ WIDTH = 250
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, words and the period of the claimed year as label; nulls have no label."""
-    return docs.select("doc_id", ascii_words(F.coalesce("text", F.lit(""))).alias("words"), F.floor(F.col("year") / WIDTH).cast("double").alias("label"))
+    """doc_id, words and the first year of the claimed period as label; nulls have no label."""
+    label = (F.floor(F.col("year") / WIDTH) * WIDTH).cast("int").cast("string")
+    return docs.select("doc_id", ascii_words(F.coalesce("text", F.lit(""))).alias("words"), label.alias("claimed"))
 
 
 def fit_dating(docs: DataFrame, sample: int = SAMPLE) -> PipelineModel:
     """Fitted on the labelled texts with the smallest hashes of their id, up to `sample`: the same for every partitioning."""
-    x = labelled(docs).filter("label >= 0").orderBy(F.xxhash64("doc_id")).limit(sample)
-    return Pipeline(stages=[HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES), NaiveBayes()]).fit(x)
+    x = labelled(docs).filter("claimed is not null").orderBy(F.xxhash64("doc_id")).limit(sample)
+    index = StringIndexer(inputCol="claimed", outputCol="label", handleInvalid="keep").fit(x)
+    names = IndexToString(inputCol="prediction", outputCol="period", labels=index.labels)
+    return Pipeline(stages=[index, HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES), NaiveBayes(), names]).fit(x)
 
 
 def classify(docs: DataFrame, model: PipelineModel) -> DataFrame:
-    x = model.transform(labelled(docs))
-    return x.select("doc_id", (F.col("prediction") * WIDTH).cast("int").alias("period"), (F.col("label") * WIDTH).cast("int").alias("claimed"))
+    return model.transform(labelled(docs)).select("doc_id", F.col("period").cast("int").alias("period"), F.col("claimed").cast("int").alias("claimed"))
 
 
 def procrustes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
