@@ -80,18 +80,15 @@ def seems_cut(c: Column) -> Column:
 
 
 def stems(definition: Column) -> Column:
-    """The content words of a definition, stemmed, sorted, with repeats; domain and usage labels don't count."""
+    """The different content words of a definition, stemmed and sorted; domain and usage labels don't count."""
     x = F.regexp_replace(F.lower(definition), r"^\s*(?:\([^)]*\)\s*)?(?:in [\p{L} ]+:)?|\[cut\]", "")
     x = F.regexp_replace(x, r"\bsort, for\b|\bsort,?\s*$|-like\b", " ")
     x = F.regexp_replace(x, r"(?<=\p{L})-(?=\p{L})", "")
-    w = F.filter(F.split(x, r"[^\p{L}]+"), lambda t: (t != "") & ~F.array_contains(F.array(*map(F.lit, FUNCTION_WORDS)), t))
-
-    def stem(t: Column) -> Column:
-        y = F.regexp_replace(t, r"(?<=\p{L}{3})(?:ing|ed|e|s)$", "")
-        y = F.regexp_replace(y, "i$", "y")
-        return F.regexp_replace(y, r"(\p{L})\1$", "$1")
-
-    return F.array_sort(F.transform(w, stem))
+    w = F.array_join(F.array_except(F.split(x, r"[^\p{L}]+"), F.array(*map(F.lit, ["", *FUNCTION_WORDS]))), " ")
+    # stems of all words at a time
+    w = F.regexp_replace(w, r"(?<=\p{L}{3})(?:ing|ed|e|s)\b", "")
+    w = F.regexp_replace(F.regexp_replace(w, r"i\b", "y"), r"(\p{L})\1\b", "$1")
+    return F.array_sort(F.filter(F.split(w, " "), lambda t: t != ""))
 
 
 def synonyms(words: DataFrame, support: int = 3, share: float = 0.1) -> DataFrame:
@@ -106,7 +103,7 @@ def synonyms(words: DataFrame, support: int = 3, share: float = 0.1) -> DataFram
     x = d.select("k", "w", F.posexplode("w").alias("i", "word"))
     rest = F.concat_ws(" ", F.filter("w", lambda t, j: j != F.col("i")))
     # keys and stems are distinct: a count of rows is a count of words in the open place
-    holes = x.groupBy("k", rest.alias("rest")).agg(F.min("word").alias("a"), F.max("word").alias("b"), F.count("*").alias("n"))
+    holes = x.select(F.xxhash64("k", rest).alias("hole"), "word").groupBy("hole").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.count("*").alias("n"))
     pairs = holes.filter("n = 2 and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
     freq = x.groupBy("word").agg(F.count("*").alias("f"))
     p = pairs.join(freq.withColumnsRenamed({"word": "a", "f": "fa"}), "a").join(freq.withColumnsRenamed({"word": "b", "f": "fb"}), "b")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import canonical, encoding
 from lexspark.llm import lexemes as X
-from lexspark.llm.survivors import SHORT_SHARE, canonical_stems, synonym_map, wordings
+from lexspark.llm.survivors import SHORT_SHARE, canonical_stems, synonym_map
 from lexspark.session import written
 
 #: Prior of the labelled precision: as if a of a + b labelled pairs had been right.
@@ -59,19 +59,17 @@ def _with_words(x: DataFrame) -> DataFrame:
     return written(x).filter("sk <> ''")
 
 
-KEY = ["iso", "sk", "pos", "sense", "part"]
-
-
 def _senses(x: DataFrame, same: Column | None, usual: int) -> DataFrame:
-    """With the canonical words cw, `sense` of whole definitions and `part` of others, and a class id."""
+    """With the canonical words cw, `sense` (their hash) of whole definitions, and a class id."""
     x = x.withColumn("cw", canonical_stems(F.col("w"), same)).drop("w")
     whole = ~F.col("cut") & (F.size("cw") >= usual)
-    x = x.withColumn("sense", F.when(whole, F.concat_ws(" ", "cw"))).withColumn("part", F.when(~whole & (F.size("cw") > 0), F.concat_ws(" ", "cw")))
-    return x.withColumn("c_id", F.xxhash64(*KEY)).drop("cut")
+    x = x.withColumn("sense", F.when(whole, F.xxhash64("cw")))
+    return x.withColumn("c_id", F.xxhash64("iso", "sk", "pos", "cw", whole)).drop("cut")
 
 
 def _classes(x: DataFrame) -> DataFrame:
-    return x.groupBy("c_id", *KEY).agg(F.first("cw").alias("cw"), F.max("sound").alias("sound")).withColumn("loose", X.loose(F.col("sk")))
+    same = [F.first(c).alias(c) for c in ("iso", "sk", "pos", "sense", "cw")]
+    return x.groupBy("c_id").agg(*same, F.max("sound").alias("sound")).withColumn("loose", X.loose(F.col("sk")))
 
 
 def _edits(a: str, b: str) -> Column:
@@ -121,7 +119,7 @@ def _record_side(rc: DataFrame) -> DataFrame:
     one = lambda w: F.coalesce(F.min("sense").over(w) == F.max("sense").over(w), F.lit(True))
     rc = rc.withColumn("one_sk", one(by_sk)).withColumn("only", F.min("sense").over(by_sk)).withColumn("one_loose", one(by_loose)).withColumn("bare", F.lit(False))
     bare = rc.filter("sense is null and one_sk and only is not null").withColumn("sense", F.col("only")).withColumn("bare", F.lit(True))
-    rc = rc.unionByName(bare).drop("only", "part")
+    rc = rc.unionByName(bare).drop("only")
     return rc.select(*[F.col(c).alias(f"r_{c}") for c in rc.columns])
 
 
@@ -130,7 +128,7 @@ def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFram
     e, r = _with_words(entry_senses(entries, languages)), _with_words(record_senses(meta.dropDuplicates(["id"])))
     words = e.select("iso", "sk", "w", "cut").unionByName(r.select("iso", "sk", "w", "cut")).filter("w is not null and not cut")
     usual = max(words.select(F.percentile_approx(F.size("w"), SHORT_SHARE)).first()[0] or 0, 2)
-    same = synonym_map(words.select(F.concat_ws("|", "iso", "sk").alias("k"), "w").unionByName(wordings(entries)))
+    same = synonym_map(words.select(F.xxhash64("iso", "sk").alias("k"), "w"))
     e, r = _senses(e, same, usual), _senses(r, same, usual)
     open_, rc = written(_classes(e)), written(_record_side(_classes(r)))
     known = (F.col("sound") != "") & (F.col("r_sound") != "")
