@@ -41,4 +41,4 @@ def plane(a: Column) -> tuple[Column, Column]:
     n = F.size(a)
     even = F.aggregate(F.filter(a, lambda x, i: i % 2 == 0), F.lit(0.0), lambda s, x: s + x)
     odd = F.aggregate(F.filter(a, lambda x, i: i % 2 == 1), F.lit(0.0), lambda s, x: s + x)
-    return tuple(F.when(n < 2, 0.0).otherwise(F.round(v / F.nullif(n, F.lit(0)) * 2, 4)) for v in (even, odd))
+    return tuple(F.when(n < 2, 0.0).otherwise(F.round(v / F.nullif(n, F.lit(0)) * 2, 4) + F.lit(0.0)) for v in (even, odd))

@@ -57,7 +57,7 @@ SQL = {
     "definition_shifts": f"""with x as (select m.id, lower(n.definition) as a, lower(m.definition_primary) as b from lsr_metadata m join graph_nodes n on neo4j_id = node_id),
 y as (select *, list_max([{_SCORES}]) as top from x)
 select case when a is null or b is null or a = '' or b = '' then 'unknown' when top.s > 0 then top.k when length(b) / length(a) > 1.5 then 'generalization' when length(b) / length(a) < 0.7 then 'specialization' else 'general' end as shift_type, count(*) as n from y group by 1""",
-    "trajectory_points": f"""with {_V} select form, lang, date as id, date, round(list_sum(list_filter(vec, lambda x, i: (i - 1) % 2 = 0)) / len(vec) * 2, 4) as x, round(list_sum(list_filter(vec, lambda x, i: (i - 1) % 2 = 1)) / len(vec) * 2, 4) as y from v""",
+    "trajectory_points": f"""with {_V} select form, lang, date as id, date, round(list_sum(list_filter(vec, lambda x, i: (i - 1) % 2 = 0)) / len(vec) * 2, 4) + 0.0 as x, round(list_sum(list_filter(vec, lambda x, i: (i - 1) % 2 = 1)) / len(vec) * 2, 4) + 0.0 as y from v""",
     "semantic_shifts": f"with {_V} select form, lang, date as id, date, round(m, 4) as magnitude from m where m > 0.2",
     "drift_stability": f"with {_V} select form, lang, points, round(tot, 4) as total, round(case when points < 2 then 1.0 else greatest(0.0, 1 - shifted / points) end, 4) as stability from t",
     "trajectory_divergence": f"with {_V} select a.form, a.lang as a, b.lang as b, round(0.7 * least(1.0, greatest(0.0, 1 - list_cosine_similarity(a.final, b.final))) + 0.3 * least(1.0, abs(round(a.tot, 4) - round(b.tot, 4))), 4) as divergence from t a join t b on a.form = b.form and a.lang < b.lang",
