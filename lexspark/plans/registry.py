@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import contact, dating, drift, graph, learning, quality, records, references, resolve, streams, wikitext
+from lexspark.plans import contact, dating, drift, graph, learning, quality, records, references, relations, resolve, streams, wikitext
 
 FLAGSHIP = "text_dating"
-_MODULES = (dating, records, resolve, contact, drift, graph, wikitext, quality, streams, learning, references)
+_MODULES = (dating, records, resolve, contact, drift, graph, wikitext, relations, quality, streams, learning, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -295,3 +295,23 @@ def test_route(spark, tmp_path):
 def test_dedup(spark):
     x = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), (None, 2)], "id string, v int")
     assert tables.dedup_deliveries(x, "id").count() == 3
+
+
+def test_relations(spark):
+    from lexspark.functions import phonetics
+    from lexspark.operators import relations
+
+    assert one(spark, phonetics.code(F.lit("Robert"))) == "R163" and one(spark, phonetics.code(F.lit(""))) == ""
+    assert one(spark, phonetics.distance(F.lit("ˈabc"), F.lit("abd"))) == pytest.approx(1 / 3) and one(spark, phonetics.distance(F.lit(""), F.lit(""))) == 0
+    assert one(spark, phonetics.sound_law(F.lit("pater bhrater"))) == "father brather"
+    rng = random.Random(1)
+    rows = [("x", i, s := rng.randint(-500, 500), s + rng.randint(-20, 400)) for i in range(80)] + [("x", 99, None, 5)]
+    a = spark.createDataFrame(rows, "k string, id int, s int, e int")
+    got = {(r["a_id"], r["b_id"]) for r in relations.overlapping(a, a, ["k"]).collect()}
+    ok = [r for r in rows if r[2] is not None and r[2] <= r[3]]
+    assert got == {(x[1], y[1]) for x in ok for y in ok if x[2] <= y[3] and y[2] <= x[3]}
+    assert relations.overlapping(a, a, ["k"]).count() == len(got)
+    assert relations.read_only_sql("select 'drop' -- drop\n;") == "select 'drop'"
+    for bad in ("drop table x", "select 1; drop table x", "with a as (select 1) insert into b select * from a"):
+        with pytest.raises(ValueError):
+            relations.read_only_sql(bad)
