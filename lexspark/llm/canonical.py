@@ -13,9 +13,14 @@ names as well. An empty list leaves everything unmatched.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.session import written
+
 
 UNMATCHED = "none"
 #: Letters with accents and what they are without.
@@ -71,26 +76,30 @@ def by_name(values: DataFrame, languages: DataFrame) -> DataFrame:
 
     values: (language), any number of repeats.
     """
-    ref = reference(languages)
+    spark = values.sparkSession
+    ref = reference(languages).collect()  # the fixed canonical list, a few names a row
     v = values.select("language").distinct().withColumn("f", fold(F.col("language"))).filter("f <> ''")
     # a remark in brackets, after a slash or before a colon isn't part of the name, unless nothing else is there
     core = F.trim(F.regexp_replace(F.regexp_replace("f", "\\([^)]*\\)|\\[[^\\]]*\\]", " "), "\\s*/.*$|^[\\p{L}-]{2,7}:", " "))
     v = v.withColumn("core", F.when(F.length(core) > 0, core).otherwise(F.col("f")))
     every = F.array(*map(F.lit, QUALIFIERS.split()))
-    known = F.broadcast(ref.select("name").distinct().withColumn("is_name", F.lit(True)))
-    v = v.join(known, v["core"] == known["name"], "left").drop("name")
+    v = v.withColumn("is_name", F.array_contains(F.array(*[F.lit(r["name"]) for r in ref] or [F.lit("")]), F.col("core")))
     aside = F.flatten(F.transform(F.regexp_extract_all("f", F.lit("[(\\[]([^)\\]]*)[)\\]]"), F.lit(1)), _words))
     aside = F.filter(aside, lambda w: w.isin(*STAGES))
     v = v.withColumn("all", F.when(F.col("core") == F.col("f"), _words(F.col("core"))).otherwise(F.concat(aside, _words(F.col("core"))))).withColumn("kept", F.filter("all", lambda w: ~F.array_contains(every, w)))
     v = v.withColumn("words", F.when(F.col("is_name") | (F.size("kept") == 0), F.col("all")).otherwise(F.col("kept")))
-    v = v.filter(F.size("words") > 0).withColumn("whole", F.array_join("words", ""))
+    v = written(v.filter(F.size("words") > 0).select("language", "words", F.array_join("words", "").alias("whole")))
 
     # vocabulary: the words of all names, and all names written together; weight: inverse document frequency
-    n = F.lit(float(max(1, ref.count())))
-    vocabulary = ref.select("name_id", F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    vocabulary = vocabulary.withColumn("idf", F.log(n / F.col("df")) + 1).withColumn("part", F.lit(True))
-    vocabulary = vocabulary.unionByName(ref.select(F.col("whole").alias("token")).distinct().select("token", F.lit(1).cast("bigint").alias("df"), (F.log(n) + 1).alias("idf"), F.lit(False).alias("part")))
-    vocabulary = F.broadcast(vocabulary)  # at most a few tokens a row of the fixed list
+    n = max(1, len(ref))
+    rare = math.log(n) + 1
+    df = Counter(w for r in ref for w in set(r["words"]))
+    idf = {w: math.log(n / k) + 1 for w, k in df.items()}
+    rows = [(w, x, True) for w, x in idf.items()] + [(w, rare, False) for w in {r["whole"] for r in ref}]
+    vocabulary = F.broadcast(spark.createDataFrame(rows, "token string, idf double, part boolean"))
+    norm = {r["name_id"]: math.sqrt(sum(idf[w] ** 2 for w in set(r["words"]))) for r in ref}
+    name_words = F.broadcast(spark.createDataFrame([(r["name_id"], r["iso_code"], w, norm[r["name_id"]]) for r in ref for w in set(r["words"])], "name_id bigint, iso_code string, token string, norm double"))
+    wholes = F.broadcast(spark.createDataFrame([(r["whole"], r["iso_code"]) for r in ref], "token string, iso_code string"))
 
     tokens = v.select(F.explode(F.concat(F.transform("words", lambda w: F.struct(w.alias("t"), F.lit(True).alias("part"))), F.array(F.struct(F.col("whole").alias("t"), F.lit(False).alias("part"))))).alias("x")).select("x.t", "x.part").distinct()
     room = F.floor((1 - MIN_TOKEN) * F.greatest(F.length("t"), F.length("token"))).cast("int")
@@ -104,25 +113,22 @@ def by_name(values: DataFrame, languages: DataFrame) -> DataFrame:
     near = near.unionByName(short.select("t", "part", "token", "idf", F.lit(ABBREVIATED).alias("sim")))
     near = near.filter(F.col("sim") >= MIN_TOKEN)
     top = Window.partitionBy("t", "part")
-    repaired = near.withColumn("best", F.max("sim").over(top)).filter(F.col("sim") >= F.col("best") - MARGIN).drop("best")
+    repaired = written(near.withColumn("best", F.max("sim").over(top)).filter(F.col("sim") >= F.col("best") - MARGIN).drop("best"))
 
     # soft TF-IDF over words: sum of products of weights of repaired words, by the names that contain them; a word
     # weighs what its repair in that name weighs, or as much as the rarest if it has none there
-    rare = F.log(n) + 1
     words = v.select("language", F.size("words").alias("k"), F.posexplode("words").alias("i", "t")).join(repaired.filter("part").drop("part"), "t")
-    name_words = ref.select("name_id", "iso_code", F.explode(F.array_distinct("words")).alias("token"))
-    norms = name_words.join(vocabulary.filter("part").select("token", "idf"), "token").groupBy("name_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
     # a word of the name goes to the entered word closest to it
     closest = Window.partitionBy("language", "name_id", "token")
-    hits = words.join(F.broadcast(name_words), "token").withColumn("top", F.max("sim").over(closest)).filter("sim = top").groupBy("language", "k", "name_id", "iso_code", "i").agg(F.max(F.struct(F.col("sim") * F.col("idf") ** 2, "token", "idf")).alias("m"))
-    hits = hits.select("language", "k", "name_id", "iso_code", "i", F.col("m.col1").alias("p"), "m.token", "m.idf")
-    once = hits.groupBy("language", "k", "name_id", "iso_code", "token").agg(F.max("p").alias("p"), F.max("idf").alias("idf"), F.count("*").alias("used"))
+    hits = words.join(name_words, "token").withColumn("top", F.max("sim").over(closest)).filter("sim = top").groupBy("language", "k", "name_id", "iso_code", "norm", "i").agg(F.max(F.struct(F.col("sim") * F.col("idf") ** 2, "token", "idf")).alias("m"))
+    hits = hits.select("language", "k", "name_id", "iso_code", "norm", "i", F.col("m.col1").alias("p"), "m.token", "m.idf")
+    once = hits.groupBy("language", "k", "name_id", "iso_code", "norm", "token").agg(F.max("p").alias("p"), F.max("idf").alias("idf"), F.count("*").alias("used"))
     own = F.sqrt(F.sum(F.col("used") * F.col("idf") ** 2) + (F.col("k") - F.sum("used")) * rare**2)
-    by_word = once.groupBy("language", "k", "name_id", "iso_code").agg(F.sum("p").alias("p"), own.alias("own")).join(F.broadcast(norms), "name_id")
+    by_word = once.groupBy("language", "k", "name_id", "iso_code", "norm").agg(F.sum("p").alias("p"), own.alias("own"))
     by_word = by_word.select("language", "iso_code", (F.col("p") / (F.col("norm") * F.col("own"))).alias("score"))
     # the same for the value as a whole
     whole = v.filter(F.array_min(F.transform("words", F.length)) > 1).select("language", F.col("whole").alias("t")).join(repaired.filter("not part").drop("part"), "t")
-    by_whole = whole.join(F.broadcast(ref.select(F.col("whole").alias("token"), "iso_code")), "token").select("language", "iso_code", F.col("sim").alias("score"))
+    by_whole = whole.join(wholes, "token").select("language", "iso_code", F.col("sim").alias("score"))
     best = by_word.unionByName(by_whole).groupBy("language", "iso_code").agg(F.max("score").alias("score")).filter(F.col("score") >= MIN_SCORE)
     r = Window.partitionBy("language").orderBy(F.desc("score"))
     best = best.withColumn("second", F.lead("score").over(r)).withColumn("rank", F.row_number().over(r)).filter("rank = 1 and (second is null or second < score - 0.02)")
@@ -136,7 +142,7 @@ def resolve(entries: DataFrame, languages: DataFrame) -> DataFrame:
     """
     entries = entries.drop("iso_code", "score", "exact", "_l", "_k")  # columns of these names give way to the result's
     languages = languages.select("iso_code", "name", "alt_names")
-    pairs = entries.select("language", "language_code").distinct()
+    pairs = written(entries.select("language", "language_code").distinct())
     lang, code = F.col("language"), F.col("language_code")
     # a whole value that is a code, in or out of brackets
     code_map = F.broadcast(codes(languages))
