@@ -35,9 +35,9 @@ def collocations(docs: DataFrame, distance: int = 2, least: int = 5) -> DataFram
     pairs = F.flatten(F.transform("w", lambda t, i: F.transform(F.slice("w", i + 2, F.lit(distance)), lambda u: F.struct(F.least(t, u).alias("a"), F.greatest(t, u).alias("b")))))
     p = w.select(F.explode(pairs).alias("p")).select("p.a", "p.b").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
     words = w.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    total = words.agg(F.sum("c").alias("total"))
-    x = p.filter(F.col("n") >= least).join(words.withColumnsRenamed({"t": "a", "c": "ca"}), "a").join(words.withColumnsRenamed({"t": "b", "c": "cb"}), "b").join(F.broadcast(total))  # one row
-    return x.select("a", "b", "n", F.round(F.log2(F.col("n") * F.col("total") / (F.col("ca") * F.col("cb"))), 6).alias("pmi"))
+    total = words.agg(F.sum("c")).first()[0] or 0  # one number
+    x = p.filter(F.col("n") >= least).join(words.withColumnsRenamed({"t": "a", "c": "ca"}), "a").join(words.withColumnsRenamed({"t": "b", "c": "cb"}), "b")
+    return x.select("a", "b", "n", F.round(F.log2(F.col("n") * F.lit(float(total)) / (F.col("ca") * F.col("cb"))), 6).alias("pmi"))
 
 
 def cognate_matrix(lsr: DataFrame, concepts: list[str]) -> DataFrame:
