@@ -97,6 +97,7 @@ def by_name(values: DataFrame, languages: DataFrame) -> DataFrame:
     idf = {w: math.log(n / k) + 1 for w, k in df.items()}
     rows = [(w, x, True) for w, x in idf.items()] + [(w, rare, False) for w in {r["whole"] for r in ref}]
     vocabulary = F.broadcast(spark.createDataFrame(rows, "token string, idf double, part boolean"))
+    beginnings = F.broadcast(spark.createDataFrame([(w[:k], w, x) for w, x in idf.items() for k in range(1, min(ABBREVIATION, len(w) - 1) + 1)], "t string, token string, idf double"))
     norm = {r["name_id"]: math.sqrt(sum(idf[w] ** 2 for w in set(r["words"]))) for r in ref}
     name_words = F.broadcast(spark.createDataFrame([(r["name_id"], r["iso_code"], w, norm[r["name_id"]]) for r in ref for w in set(r["words"])], "name_id bigint, iso_code string, token string, norm double"))
     wholes = F.broadcast(spark.createDataFrame([(r["whole"], r["iso_code"]) for r in ref], "token string, iso_code string"))
@@ -109,7 +110,7 @@ def by_name(values: DataFrame, languages: DataFrame) -> DataFrame:
     d = F.levenshtein("t", "token")
     d = F.when(anagram & (d == 2), 1).otherwise(d)
     near = near.withColumn("sim", 1 - d / F.greatest(F.length("t"), F.length("token")))
-    short = tokens.filter((F.col("part")) & (F.length("t") <= ABBREVIATION)).join(vocabulary.filter("part").drop("part"), F.expr("startswith(token, t) and token <> t"))
+    short = tokens.filter((F.col("part")) & (F.length("t") <= ABBREVIATION)).join(beginnings, "t")
     near = near.unionByName(short.select("t", "part", "token", "idf", F.lit(ABBREVIATED).alias("sim")))
     near = near.filter(F.col("sim") >= MIN_TOKEN)
     top = Window.partitionBy("t", "part")
