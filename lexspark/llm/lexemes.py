@@ -24,6 +24,9 @@ PHONETIC_STAND_INS = ("", "n/a", "//", "-", "[?]", "?", "—", "–", "tbd", "no
 #: A definition ends in one of these only if the rest is missing.
 CUT_END = r"(?:\.\.\.|…|\[(?:cut|\.\.\.|…|truncated)\]|[,;:(]|\b(?:a|an|the|of|for|with|which|that|to|by|as|and|one|being|used|kept|made|done|means|especially))\s*$"
 
+#: No sign of CUT_END is longer.
+CUT_TAIL = 24
+
 
 def _skeleton_map() -> tuple[str, str]:
     """Characters and the plain letter that stands for their look-alike class, accents and width aside."""
@@ -76,17 +79,18 @@ def real_phonetic(c: Column) -> Column:
 
 def seems_cut(c: Column) -> Column:
     """Whether a text visibly breaks off. A prefix of another member's text is a matter of the group."""
-    return F.lower(c).rlike(CUT_END) | (F.length(F.translate(c, "(", "")) < F.length(F.translate(c, ")", "")))
+    return F.lower(F.right(c, F.lit(CUT_TAIL))).rlike(CUT_END) | (F.length(F.translate(c, "(", "")) < F.length(F.translate(c, ")", "")))
 
 
 def stems(definition: Column) -> Column:
     """The different content words of a definition, stemmed and sorted; domain and usage labels don't count."""
     x = F.regexp_replace(F.lower(definition), r"^\s*(?:\([^)]*\)\s*)?(?:in [\p{L} ]+:)?|\[cut\]", "")
-    x = F.regexp_replace(x, r"\bsort, for\b|\bsort,?\s*$|-like\b", " ")
-    x = F.regexp_replace(x, r"(?<=\p{L})-(?=\p{L})", "")
+    x = F.regexp_replace(F.replace(x, F.lit(" sort, for "), F.lit(" ")), r" sort,?\s*$|-like\b", " ")
+    # tests that look back stand behind the characters that they are about: positions without those cost nothing
+    x = F.regexp_replace(x, r"-(?<=\p{L}-)(?=\p{L})", "")
     w = F.array_join(F.array_except(F.split(x, r"[^\p{L}]+"), F.array(*map(F.lit, ["", *FUNCTION_WORDS]))), " ")
     # stems of all words at a time
-    w = F.regexp_replace(w, r"(?<=\p{L}{3})(?:ing|ed|e|s)\b", "")
+    w = F.regexp_replace(w, r"(?:ing|ed|e|s)(?!\p{L})(?<=\p{L}{3}(?:ing|ed|e|s))", "")
     w = F.regexp_replace(F.regexp_replace(w, r"i\b", "y"), r"(\p{L})\1\b", "$1")
     return F.array_sort(F.filter(F.split(w, " "), lambda t: t != ""))
 

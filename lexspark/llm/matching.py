@@ -34,7 +34,8 @@ PARTIAL_WORDS = 2
 
 
 def _sound(c: Column) -> Column:
-    return X.skeleton(F.translate(c, "ɔɛɾɡθʃəːˈ", "oergtsə"))
+    """A pronunciation without stress, length and what looks alike in it."""
+    return F.translate(c, "ɡɾεөіа:ːˈ'ʰ \u00a0\u00ad\u200b\u200c\u200d\u2060\ufeff", "grɛθia")
 
 
 def entry_senses(entries: DataFrame, languages: DataFrame) -> DataFrame:
