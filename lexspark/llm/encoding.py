@@ -192,7 +192,7 @@ def _garbled_udf(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def repaired(c: Column) -> Column:
     """Column with garbled spans restored. Only suspects reach Python: others are replaced by null on the way."""
-    return F.when(suspect(c), _repair_udf(F.when(suspect(c), c))).otherwise(c)
+    return F.coalesce(_repair_udf(F.when(suspect(c), c)), c)
 
 
 def garbled(df, columns: list[str], key: Column, table_name: str):

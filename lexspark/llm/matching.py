@@ -45,7 +45,8 @@ def entry_senses(entries: DataFrame, languages: DataFrame) -> DataFrame:
     e = e.withColumn("form", encoding.repaired(F.col("form")))
     defs = F.filter(F.transform("definitions", X.real_definition), lambda x: x.isNotNull())
     e = e.withColumn("defs", defs).withColumn("defs", F.when(F.size("defs") > 0, F.col("defs")).otherwise(F.array(F.lit(None).cast("string"))))
-    return e.select("entry_id", F.col("iso_code").alias("iso"), X.skeleton(F.col("form")).alias("sk"), F.concat_ws(",", F.array_sort("part_of_speech")).alias("pos"), _sound(X.real_phonetic(F.col("form_phonetic"))).alias("sound"), F.explode("defs").alias("def"))
+    e = e.select("entry_id", F.col("iso_code").alias("iso"), X.skeleton(F.col("form")).alias("sk"), F.concat_ws(",", F.array_sort("part_of_speech")).alias("pos"), _sound(X.real_phonetic(F.col("form_phonetic"))).alias("sound"), "defs")
+    return e.select("entry_id", "iso", "sk", "pos", "sound", F.explode("defs").alias("def"))
 
 
 def record_senses(meta: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def _record_side(rc: DataFrame) -> DataFrame:
 
 def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFrame:
     """(entry_id, lsr_id, rule, confidence): every pair, by its first rule. Empty tables give no pairs."""
-    e, r = _with_words(entry_senses(entries, languages)), _with_words(record_senses(meta.dropDuplicates(["id"])))
+    e, r = _with_words(entry_senses(entries, languages)), _with_words(record_senses(meta))  # repeated rows end in the last aggregate
     words = e.select("iso", "sk", "w", "cut").unionByName(r.select("iso", "sk", "w", "cut")).filter("w is not null and not cut")
     usual = max(words.select(F.percentile_approx(F.size("w"), SHORT_SHARE)).first()[0] or 0, 2)
     same = synonym_map(words.select(F.xxhash64("iso", "sk").alias("k"), "w"))
