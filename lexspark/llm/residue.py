@@ -16,6 +16,8 @@ sentences about a word or a notation. Null and empty texts are never residue; le
 
 from __future__ import annotations
 
+from re import _parser as regex
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +67,66 @@ REPEATED = r"(?i)(?:^|[.\n]\s*)(\S{2,12})(?:\s+\1\b){5,}"
 COPIES = 2
 
 
-#: A text without any of these holds no residue; a plain scan that spares most texts the detectors.
-TRIGGER = (
-    r"[{}$%@<>«~^§¤|\[]|__|\(\(|XXX|TODO|FIXME|TBD|TKTK|Exception|undefined|null|NaN|(?:^|[.\n]\s*)(\S{2,12})\s\1\s\1|(?:^|\n)[45]\d\d [A-Z]|"
-    r"(?i:script|browser|fault|traceback|session|sign in|permi|not found|seite nicht|verfügbar|demande|sorry|went wrong|nothing |maintenance|could not|available|intentarlo|deleted|while [flpr]|n'existe plus|"
-    r"error|erreur \d|fehler|gateway|denied|requests|rate limited|your |sample|placeholder|dummy|goes here|retry|reload|log in|signed in|requested|refused|failed|end of file|fatal|character|to follow|to come|coming soon|top|menu|cookies|expired|forbidden|timeout|go back|loading|dolor|ipsum|lorem|dapibus|viverra|: *(?:none|n/a))"
-)
+#: Characters too common in plain texts to tell anything on their own.
+COMMON = " .,;:!?'-()\n"
+
+
+def needles(pattern: str) -> set[str] | None:
+    """Lower-case strings one of which, case aside, is in every match of the pattern; None if it has no telling ones."""
+
+    def telling(s: str) -> bool:
+        return len(s) > 2 or any(not c.isalnum() and c not in COMMON for c in s)
+
+    def walk(items) -> set[str] | None:
+        found: list[set[str]] = []
+        run = ""
+        for op, arg in [*items, (None, None)]:
+            if op is regex.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if telling(run):
+                found.append({run})
+            run, got = "", None
+            if op is regex.SUBPATTERN:
+                got = walk(arg[3])
+            elif op in (regex.MAX_REPEAT, regex.MIN_REPEAT) and arg[0] > 0:
+                one = len(arg[2]) == 1 and arg[2][0][0] is regex.LITERAL
+                got = walk(list(arg[2]) * arg[0] if one else arg[2])
+            elif op is regex.BRANCH:
+                each = [walk(x) for x in arg[1]]
+                got = None if None in each else set().union(*each)
+            elif op is regex.IN and all(k is regex.LITERAL and telling(chr(c)) for k, c in arg):
+                got = {chr(c).lower() for _, c in arg}
+            if got:
+                found.append(got)
+        # strings with a sign, then long ones, are the rarest
+        return max(found, key=lambda f: (all(not n.replace(" ", "").isalnum() for n in f), min(map(len, f)), -len(f)), default=None)
+
+    return walk(regex.parse(pattern.replace(r"\p{L}", "a")))
+
+
+def _prefilter(patterns: list[str]) -> tuple[list[str], list[str]]:
+    """(strings, patterns): a text without any of the strings, case aside, and matches of the patterns has no match."""
+    got = {p: needles(p) for p in patterns}
+    strings = set().union(*[n for n in got.values() if n])
+    # a string within another one finds all that the longer one does
+    return sorted(n for n in strings if not any(m != n and m in n for m in strings)), [p for p, n in got.items() if not n]
+
+
+DUMMY = rf"(?i)\b(?:{LOREM.replace(' ', '|')})\b"
+#: A content without any of these holds no residue; a plain scan that spares most texts the detectors. REPEATED is not
+#: among them: it looks at beginnings of sentences only and is as cheap as a scan.
+STRINGS, REST = _prefilter([*PLACEHOLDERS, *RESPONSES, WEAK])
+REST.append(DUMMY)  # short words; they tell at word boundaries only
+
+
+def triggered(c: Column) -> Column:
+    """Whether a detector may match; true wherever one does."""
+    low = F.lower(c)
+    out = c.rlike(REPEATED)
+    for n in STRINGS:
+        out = out | F.contains(low, F.lit(n))
+    return out | c.rlike("(?m)" + "|".join(f"(?:{p})" for p in REST))
 
 
 def content(text: Column) -> Column:
@@ -91,7 +147,7 @@ def _lorem(x: Column) -> Column:
         w = F.filter(F.split(F.lower(s), r"[^\p{L}]+"), lambda t: t != "")
         return (F.size(w) >= LOREM_WORDS) & (F.size(F.filter(w, lambda t: F.array_contains(words, t))) >= LOREM_SHARE * F.size(w))
 
-    return F.when(F.lower(x).rlike(r"\b(?:dolor|ipsum|lorem|dapibus|viverra|nullam|lectus)\b"), F.exists(F.split(x, r"[.!?\n]+"), dummy)).otherwise(False)
+    return F.when(x.rlike(DUMMY), F.exists(F.split(x, r"[.!?\n]+"), dummy)).otherwise(False)
 
 
 def evidence(docs: DataFrame) -> DataFrame:
@@ -101,8 +157,8 @@ def evidence(docs: DataFrame) -> DataFrame:
     (partial sums first), so a page copied any number of times stays one row of that count.
     """
     docs = docs.drop("_c", "low", "shape", "copies", "placeholder", "response", "filler", "duplicated")
-    text = F.when(F.col("text").rlike(TRIGGER), F.col("text")).otherwise("")
-    x = docs.withColumn("_c", content(text))
+    x = docs.withColumn("_c", content(F.col("text")))
+    x = x.withColumn("_c", F.when(triggered(F.col("_c")), F.col("_c")).otherwise(""))
     x = x.withColumn("placeholder", F.col("_c").rlike("(?m)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS)))
     x = x.withColumn("response", F.col("_c").rlike("|".join(f"(?:{p})" for p in RESPONSES)))
     x = x.withColumn("filler", _lorem(F.col("_c")) | F.col("_c").rlike(REPEATED))

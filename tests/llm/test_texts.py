@@ -168,3 +168,21 @@ def test_residue(residue_docs):
     got = {r["doc_id"] for r in residue.residue(residue_docs).collect()}
     assert got == set(range(len(RESIDUE)))
     assert residue.residue(residue_docs.limit(0)).count() == 0
+
+
+#: One of each kind that detectors name and a narrower prefilter lost.
+NAMED = ["#headword#", "*gloss*", "Example definition.", "Definition pending.", "La página no encontrada.", "No existe la página que busca.", "panic: runtime", "Warning: cannot go on", "You must be logged in.", "The connection closed.", "Server is down.", "Database reset.", "The socket lost.", "Connection timed out.", "No such file.", "Out of memory.", "Stack overflow.", "Core dumped.", "Nullam lectus nullam lectus.", "Mauris magna nunc porta eros.", "Blah blah blah blah blah blah blah blah blah."]
+WEAKLY = ["Old form.\nMoved by the editors.", "Old form.\nThe site owner knows.", "Old form.\nAsk at the server."]
+
+
+def test_residue_prefilter_is_no_cut(spark):
+    x = spark.createDataFrame([(i, t, f"feed{i}") for i, t in enumerate(NAMED + WEAKLY + WEAKLY)], "doc_id bigint, text string, source string")
+    got = {r["doc_id"] for r in residue.residue(x).collect()}
+    assert got == set(range(len(NAMED) + 2 * len(WEAKLY)))
+
+
+def test_needles_are_in_every_match():
+    assert residue.needles(r"(?i)\bOut of (?:memory|disk)\b") >= {"out of "} and residue.needles(r"x(?:abcd)?y") is None
+    assert residue.needles(r"(?:Error|Fehler) \d") == {"error", "fehler"} and residue.needles(r"_{4,}") == {"____"} and residue.needles(r"(?:abcd|\d)") is None
+    for p in (*residue.PLACEHOLDERS, *residue.RESPONSES, residue.WEAK):
+        assert residue.needles(p) or p in residue.REST
