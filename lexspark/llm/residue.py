@@ -6,8 +6,8 @@ is one kind of evidence here:
 * placeholder detectors: a field name in the delimiters of some template language, or words that stand for one;
 * response detectors: sentences of servers and browsers, in the languages of the corpus;
 * filler: sentences of dummy Latin or of one token repeated;
-* duplicated low information: a body whose shape (digits removed) recurs over hosts and shares no term with
-  its title or slug, together with words that servers use.
+* duplicated low information: a body that shares no term with its title or slug and has words that servers use,
+  where its shape (digits removed) recurs over hosts or most of what its host delivers is like that.
 
 documents has no address: the slug is taken from the terms of language_code's title line, the host is `source`.
 What a text mentions or quotes is taken out first: quoted spans, filled-in markup ({{IPA|...}}, [[form]]) and
@@ -63,8 +63,10 @@ LOREM = "lorem ipsum dolor sit amet mauris magna nunc porta eros viverra ornare
 LOREM_SHARE, LOREM_WORDS = 0.7, 4
 #: A run of one token, this many times: with the first, nine.
 REPEATED = r"(?i)(?:^|[.\n]\s*)(\S{2,12})(?:\s+\1\b){5,}"
-#: A shape is duplicated from this many documents on.
+#: A shape is duplicated from this many hosts on.
 COPIES = 2
+#: A host answers in place of its documents from this share of low information on, and this many texts of it.
+HOST_SHARE, HOST_TEXTS = 0.5, 4
 
 
 #: Characters too common in plain texts to tell anything on their own.
@@ -153,26 +155,29 @@ def _lorem(x: Column) -> Column:
 def evidence(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source) with placeholder, response, filler and duplicated in place of the text.
 
-    Repeated rows are judged alike; a null source counts as one host. Shapes are counted in a grouped count
-    (partial sums first), so a page copied any number of times stays one row of that count.
+    Repeated rows are judged alike; a null source counts as one host. Shapes are reduced to one row a host before
+    their hosts are counted (partial sums first), so a page copied any number of times stays one row of that count.
     """
-    docs = docs.drop("_c", "low", "shape", "copies", "placeholder", "response", "filler", "duplicated")
+    docs = docs.drop("_c", "low", "shape", "hosts", "host", "answers", "placeholder", "response", "filler", "duplicated")
     x = docs.withColumn("_c", content(F.col("text")))
     x = x.withColumn("_c", F.when(triggered(F.col("_c")), F.col("_c")).otherwise(""))
     x = x.withColumn("placeholder", F.col("_c").rlike("(?m)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS)))
     x = x.withColumn("response", F.col("_c").rlike("|".join(f"(?:{p})" for p in RESPONSES)))
     x = x.withColumn("filler", _lorem(F.col("_c")) | F.col("_c").rlike(REPEATED))
     title = F.element_at(F.split("_c", r"\n"), 1)
-    body = F.regexp_replace("_c", r"^[^\n]*\n", "")
+    body = F.regexp_replace("_c", r"^[^\n]*(?:\n|$)", "")
     # low information: the body takes up no term of its title, where there is one
     x = x.withColumn("low", F.col("_c").rlike(WEAK) & (F.size(F.array_intersect(_terms(title), _terms(body))) == 0))
     x = x.withColumn("shape", F.when(F.col("low"), F.xxhash64(F.regexp_replace(F.lower("_c"), r"[^\p{L}]+", " "))))
     out = [c for c in docs.columns if c != "text"] + ["placeholder", "response", "filler"]
     x = written(x.select(*out, "shape"))  # the texts are read once
-    shapes = x.filter("shape is not null").groupBy("shape").agg(F.count("*").alias("copies"))
-    # texts without such words, nearly all of them, stay out of the join: they share the null key
+    low = x.filter("shape is not null").withColumn("host", F.coalesce("source", F.lit("")))
+    shapes = low.groupBy("shape", "host").agg(F.count("*").alias("n")).groupBy("shape").agg(F.count("*").alias("hosts"))
+    host = x.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.count("shape").alias("k"))
+    host = host.filter((F.col("k") >= HOST_TEXTS) & (F.col("k") >= HOST_SHARE * F.col("n"))).select("host", F.lit(True).alias("answers"))
+    # texts without such words, nearly all of them, stay out of the joins: they share the null key
     out.append("duplicated")
-    low = x.filter("shape is not null").join(shapes, "shape").withColumn("duplicated", F.col("copies") >= COPIES)
+    low = low.join(shapes, "shape").join(host, "host", "left").withColumn("duplicated", (F.col("hosts") >= COPIES) | F.col("answers").isNotNull())
     return x.filter("shape is null").withColumn("duplicated", F.lit(False)).select(*out).unionByName(low.select(*out))
 
 

@@ -186,3 +186,15 @@ def test_needles_are_in_every_match():
     assert residue.needles(r"(?:Error|Fehler) \d") == {"error", "fehler"} and residue.needles(r"_{4,}") == {"____"} and residue.needles(r"(?:abcd|\d)") is None
     for p in (*residue.PLACEHOLDERS, *residue.RESPONSES, residue.WEAK):
         assert residue.needles(p) or p in residue.REST
+
+
+def test_residue_hosts(spark):
+    notes = ["Old form.\nMoved to the hill.", "Old word.\nIn a server hall.", "Old sign.\nRequest for grain.", "Old tale.\nExpired in May."]
+    rows = [("one", "Old oak.\nDeleted in the margin.")] * 2 + [("one", f"plain words {k}") for k in range(9)]  # copies of one host
+    rows += [("a", "Old elm.\nForbidden fruit."), (None, "Old elm.\nForbidden fruit."), (None, "plain words")]  # two hosts, one of them null
+    rows += [("down", t) for t in notes] + [("down", "plain words"), ("few", notes[0] + " Twice."), ("few", notes[1] + " Once.")]  # a host that only answers
+    rows += [("up", "Old ash.\nReload the cart."), *[("up", f"plain words {k}") for k in range(9)]]
+    x = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    got = {rows[r["doc_id"]] for r in residue.residue(x).collect()}
+    assert got == {("a", rows[11][1]), (None, rows[11][1]), *[("down", t) for t in notes]}
+    assert "source" in residue.evidence(x).columns
