@@ -35,8 +35,6 @@ SHARD_ITEMS = 20_000
 PLACE, COST = 4, 1.0
 #: Weights of the residuals of tokens, places and cost.
 WEIGHTS = (1.0, 0.05, 0.1)
-#: So many of the fullest fitting residual classes are compared by norm.
-COMPARED = 8
 
 
 def tokenizer(path: str):
@@ -64,30 +62,34 @@ def best_fit(sizes: list[int], tokens: int, places: int, cost: float) -> list[tu
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     out: list[tuple[int, int]] = [(0, 0)] * len(sizes)
     left: list[list[float]] = []  # residual tokens, places, cost
-    classes: dict[int, list[int]] = {}  # containers by residual tokens
+    # containers by residual tokens, then residual places; each list in order of residual cost
+    classes: dict[int, dict[int, list[tuple[float, int]]]] = {}
     keys: list[int] = []  # the residuals there are, in order
     for i in order:
         s = sizes[i]
-        best, norm, compared = -1, math.inf, 0
-        k = bisect.bisect_left(keys, s)
-        while k < len(keys) and compared < COMPARED:
-            fits = [c for c in classes[keys[k]][-COMPARED:] if left[c][1] >= 1 and left[c][2] >= s * s]
-            # containers of a class that were passed over for another constraint: look at all of them
-            if not fits:
-                fits = [c for c in classes[keys[k]] if left[c][1] >= 1 and left[c][2] >= s * s][:1]
-            for c in fits:
-                r = ((left[c][0] - s) / tokens, (left[c][1] - 1) / places, (left[c][2] - s * s) / cost)
-                n = sum(w * x * x for w, x in zip(WEIGHTS, r))
-                if n < norm:
-                    best, norm = c, n
-            compared += bool(fits)
-            k += 1
+        best, norm = -1, math.inf
+        for k in range(bisect.bisect_left(keys, s), len(keys)):
+            r = keys[k]
+            # squares of what is used sum up to the used tokens' square at most: no container of this class or of one
+            # with more room has a smaller norm
+            free = max(0.0, cost - (tokens - r) ** 2 - s * s) / cost
+            if WEIGHTS[0] * ((r - s) / tokens) ** 2 + WEIGHTS[2] * free**2 > norm:
+                break
+            for p, row in classes[r].items():
+                # of equal tokens and places, the least cost that fits
+                if (j := bisect.bisect_left(row, (s * s, -1))) < len(row):
+                    n = sum(w * x * x for w, x in zip(WEIGHTS, ((r - s) / tokens, (p - 1) / places, (row[j][0] - s * s) / cost)))
+                    if n < norm:
+                        best, norm = row[j][1], n
         if best < 0:
             best = len(left)
             left.append([tokens, places, cost])
         else:
-            old = int(left[best][0])
-            classes[old].remove(best)
+            old, p, c = left[best]
+            row = classes[old][p]
+            row.pop(bisect.bisect_left(row, (c, best)))
+            if not row:
+                del classes[old][p]
             if not classes[old]:
                 del classes[old]
                 keys.pop(bisect.bisect_left(keys, old))
@@ -95,12 +97,12 @@ def best_fit(sizes: list[int], tokens: int, places: int, cost: float) -> list[tu
         left[best][0] -= s
         left[best][1] -= 1
         left[best][2] -= s * s
-        now = int(left[best][0])
-        if now > 0 and left[best][1] >= 1:
+        now, p, c = left[best]
+        if now > 0 and p >= 1:
             if now not in classes:
-                classes[now] = []
+                classes[now] = {}
                 bisect.insort(keys, now)
-            classes[now].append(best)
+            bisect.insort(classes[now].setdefault(p, []), (c, best))
     return out
 
 

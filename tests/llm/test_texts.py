@@ -198,3 +198,23 @@ def test_residue_hosts(spark):
     got = {rows[r["doc_id"]] for r in residue.residue(x).collect()}
     assert got == {("a", rows[11][1]), (None, rows[11][1]), *[("down", t) for t in notes]}
     assert "source" in residue.evidence(x).columns
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 60), st.sampled_from([200, 1000]))
+def test_best_fit_takes_the_smallest_norm_of_all(seed, places, tokens):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, rng.choice([tokens, tokens // 4, 20])) for _ in range(400)]
+    cost = float(tokens**2)
+    at = packing.best_fit(sizes, tokens, places, cost)
+    left: list[list[float]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        s = sizes[i]
+        norms = {c: sum(w * x * x for w, x in zip(packing.WEIGHTS, ((t - s) / tokens, (p - 1) / places, (q - s * s) / cost))) for c, (t, p, q) in enumerate(left) if t >= s and p >= 1 and q >= s * s and t > 0}
+        c = at[i][0]
+        if c == len(left):
+            assert not norms
+            left.append([tokens, places, cost])
+        else:
+            assert norms[c] <= min(norms.values()) + 1e-12
+        left[c] = [left[c][0] - s, left[c][1] - 1, left[c][2] - s * s]
