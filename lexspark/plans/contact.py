@@ -13,13 +13,39 @@ PATTERNS = (rf"^Borrowed from {LANG} ([^ ,]+)", rf"^From {LANG} ([^ ,]+),", rf"^
 FIELD = r"^Loan of the ([a-z]+) trade"
 
 
-def borrowings(s, d):
-    e = table(s, d, "raw_entries", "entry_id", "form", "language", "etymology", "definitions", "date_attested")
+#: The recipient of entries whose language is not in the list.
+UNKNOWN = "unknown"
+
+
+def _clean(x):
+    return F.nullif(F.lower(F.trim(F.regexp_replace(x, r"[\s\x{a0}]+", " "))), F.lit(""))
+
+
+def recipients(x, languages):
+    """x (language, language_code) with recipient: by cleaned name, else other name, else cleaned code, else unknown.
+
+    The list is fixed; another name of two languages stands for neither.
+    """
+    names = languages.select(_clean(F.col("name")).alias("k"), "iso_code", F.lit(0).alias("rank"))
+    others = languages.select(F.explode("alt_names").alias("k"), "iso_code").select(_clean(F.col("k")).alias("k"), "iso_code", F.lit(1).alias("rank"))
+    n = names.unionByName(others).filter("k is not null").groupBy("k").agg(F.min("rank").alias("rank"), F.collect_set(F.struct("rank", "iso_code")).alias("all"))
+    n = n.select("k", F.filter("all", lambda v: v["rank"] == F.col("rank"))["iso_code"].alias("codes")).filter("size(codes) = 1").select("k", F.col("codes")[0].alias("by_name"))
+    c = languages.select(_clean(F.col("iso_code")).alias("c"), F.col("iso_code").alias("by_code"))
+    x = x.withColumn("k", _clean(F.col("language"))).withColumn("c", _clean(F.col("language_code")))
+    x = x.join(F.broadcast(n), "k", "left").join(F.broadcast(c), "c", "left")
+    return x.withColumn("recipient", F.coalesce("by_name", "by_code", F.lit(UNKNOWN))).drop("k", "c", "by_name", "by_code")
+
+
+def borrowings(s, d, every=False):
+    """With `every`, borrowings whose language is not an exact name stay as well, under the recipient they resolve to."""
+    e = table(s, d, "raw_entries", "entry_id", "form", "language", "language_code", "etymology", "definitions", "date_attested")
     pick = lambda g: F.coalesce(*[F.nullif(F.regexp_extract("etymology", p, g), F.lit("")) for p in PATTERNS])
     lang = F.broadcast(table(s, d, "languages", "name", "iso_code"))  # the fixed canonical list
     field = F.regexp_extract("etymology", FIELD, 1)
-    x = e.select("form", "language", pick(1).alias("name"), pick(2).alias("source_form"), F.when(field != "", F.array(field)).alias("fields"), F.try_element_at("definitions", F.lit(1)).alias("definition"), F.col("date_attested").alias("year"))
+    x = e.select("form", "language", "language_code", pick(1).alias("name"), pick(2).alias("source_form"), F.when(field != "", F.array(field)).alias("fields"), F.try_element_at("definitions", F.lit(1)).alias("definition"), F.col("date_attested").alias("year"))
     x = x.join(lang.select("name", F.col("iso_code").alias("donor")), "name")
+    if every:
+        return recipients(x, table(s, d, "languages", "name", "iso_code", "alt_names")).select("donor", "recipient", "year", "form", "source_form", "fields", "definition")
     return x.join(lang.select(F.col("name").alias("language"), F.col("iso_code").alias("recipient")), "language").select("donor", "recipient", "year", "form", "source_form", "fields", "definition")
 
 
@@ -38,6 +64,13 @@ QUERIES = {
     "borrowing_peaks": lambda s, d: C.peak_century(borrowings(s, d)),
     "suffix_adaptations": lambda s, d: C.adaptations(borrowings(s, d)),
     "contact_intensity": lambda s, d: C.intensity(borrowings(s, d)),
+    # the same over every borrowing; the ones above keep to the exact names of their SQL
+    "contact_events_every": lambda s, d: C.events(borrowings(s, d, True), min_borrowings=2),
+    "borrowing_by_century_every": lambda s, d: C.by_century(borrowings(s, d, True)),
+    "borrowing_by_domain_every": lambda s, d: C.by_domain(borrowings(s, d, True)),
+    "borrowing_peaks_every": lambda s, d: C.peak_century(borrowings(s, d, True)),
+    "suffix_adaptations_every": lambda s, d: C.adaptations(borrowings(s, d, True)),
+    "contact_intensity_every": lambda s, d: C.intensity(borrowings(s, d, True)),
 }
 SQL = {
     "contact_events": f"""with {BORROW}, {_SIDES}, g as (select {_K}, count(*) as n, stddev_pop(year) as sd from sc group by all),

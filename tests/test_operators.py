@@ -315,3 +315,19 @@ def test_relations(spark):
     for bad in ("drop table x", "select 1; drop table x", "with a as (select 1) insert into b select * from a"):
         with pytest.raises(ValueError):
             relations.read_only_sql(bad)
+
+
+def test_every_borrowing_has_a_recipient(spark):
+    from lexspark.plans import contact as P
+
+    languages = spark.createDataFrame([("Latin", "lat", ["Lingua Latina", "both"]), ("Greek", "grc", ["both", "Latin"])], "name string, iso_code string, alt_names array<string>")
+    rows = [("Latin", "lat", "lat"), (" latin ", None, "lat"), ("lingua  latina", "grc", "lat"), ("both", " GRC", "grc"), ("Latyn", "LAT ", "lat"), (None, "grc", "grc"), ("", None, "unknown"), ("Elvish", "qya", "unknown"), ("Latin", "lat", "lat")]
+    got = P.recipients(spark.createDataFrame(rows, "language string, language_code string, want string"), languages).collect()
+    assert len(got) == len(rows) and all(r["recipient"] == r["want"] for r in got)
+
+
+def test_every_borrowing_stays(spark, sf):
+    from lexspark.plans import contact as P
+
+    some, every = P.borrowings(spark, sf), P.borrowings(spark, sf, True)
+    assert every.count() > some.count() and some.exceptAll(every).isEmpty()
