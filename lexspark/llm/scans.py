@@ -61,12 +61,23 @@ def is_furniture(line: Column, source: Column) -> Column:
     return line.rlike(PAGE_LINE) | line.rlike(HEADER_LINE) | F.coalesce(title, F.lit(False))
 
 
+#: Powers are taken modulo this prime at each step, so that no product leaves 64 bits for any code point.
+MODULUS = 1_000_000_007
+
+
+def _power(x: Column) -> Column:
+    """The fifth power of a character's code point modulo MODULUS."""
+    n = F.ascii(x).cast("bigint")
+    square = n * n % MODULUS
+    return square * square % MODULUS * n % MODULUS
+
+
 def _hash(c: Column) -> Column:
-    return F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda s, x: s + F.when(x == "", F.lit(0).cast("bigint")).otherwise(F.pow(F.ascii(x), 5).cast("bigint") % 1_000_000_007))
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda s, x: s + F.when(x == "", F.lit(0).cast("bigint")).otherwise(_power(x)))
 
 
 def _py_hash(s: str) -> int:
-    return sum(ord(c) ** 5 % 1_000_000_007 for c in s)
+    return sum(ord(c) ** 5 % MODULUS for c in s)
 
 
 def prepared(attestations: DataFrame) -> DataFrame:
