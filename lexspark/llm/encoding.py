@@ -1,8 +1,8 @@
 """Garbled text from wrong character encoding (problem 7).
 
 Characters are mapped back to the bytes of a legacy code page, a byte-structure automaton finds the maximal
-well-formed multibyte UTF-8 spans among them, and only those spans are decoded. Text garbled twice is repaired
-in as many passes. What stays unreadable (replacement characters, stray halves of a sequence) is reported as
+well-formed multibyte UTF-8 spans among them, and only those spans are decoded. Text garbled several times is repaired
+in as many passes: each one shortens the text, so they end by themselves. What stays unreadable (replacement characters, stray halves of a sequence) is reported as
 garbled but not restored.
 
 Null and empty text: not garbled, repaired to itself. Length has no limit.
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 #: Code pages in which UTF-8 bytes are read by mistake, in order of preference.
 CODE_PAGES = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859_2", "iso8859_7", "iso8859_15", "koi8_r", "cp866")
@@ -30,7 +30,6 @@ WELL_FORMED = (
     rb"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})"
 )
 SPAN = re.compile(WELL_FORMED + b"+")
-PASSES = 4
 
 
 def _code_page(name: str) -> dict[str, int]:
@@ -54,6 +53,18 @@ def _chars(cs) -> str:
     return "".join(re.escape(c) if c < "\x80" else f"\\x{{{ord(c):04x}}}" for c in sorted(set(cs)))
 
 
+def _pairs() -> dict[str, re.Pattern]:
+    """By code page: a lead byte's character before a continuation byte's; without one there is no span."""
+    out = {}
+    for n, t in TABLES.items():
+        lead, cont = ("".join(re.escape(c) for c, b in t.items() if lo <= b <= hi) for lo, hi in ((0xC2, 0xF4), (0x80, 0xBF)))
+        out[n] = re.compile(f"[{lead}][{cont}]")
+    return out
+
+
+PAIRS = _pairs()
+
+
 def _suspect_pattern() -> str:
     """Java pattern: in some code page a lead byte of UTF-8 followed by a continuation byte, or a sure sign of loss."""
     parts = []
@@ -129,6 +140,8 @@ def _score(span: str) -> float:
 def _one_pass(text: str) -> str:
     best, best_score = text, 0.0
     for name in CODE_PAGES:
+        if not PAIRS[name].search(text):
+            continue
         t = TABLES[name]
         raw = bytes(t.get(c, 0) if c >= "\x80" else 0 for c in text)
         if not (m := SPAN.search(raw)):
@@ -158,10 +171,7 @@ def repair(text: str | None) -> str | None:
     if text is None:
         return None
     text = EIGHT_BIT_WORD.sub(_eight_bit, text)
-    for _ in range(PASSES):
-        fixed = _one_pass(text)
-        if fixed == text:
-            break
+    while (fixed := _one_pass(text)) != text:
         text = fixed
     return EIGHT_BIT.sub(_eight_bit, text.translate(C1))
 
@@ -170,7 +180,13 @@ def is_garbled(text: str | None) -> bool:
     """Whether a text is garbled wholly or in part, restorable or not."""
     if not text:
         return False
-    return bool(LOST.search(text)) or bool(STRAY.search(text)) or repair(text) != text
+    return judged(text)[0]
+
+
+def judged(text: str) -> tuple[bool, str]:
+    """Whether a text is garbled, and the text restored as far as possible."""
+    restored = repair(text)
+    return bool(LOST.search(text)) or bool(STRAY.search(text)) or restored != text, restored
 
 
 def suspect(c: Column) -> Column:
@@ -184,10 +200,10 @@ def _repair_udf(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(repair, na_action="ignore")
 
 
-@pandas_udf(BooleanType())
-def _garbled_udf(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@pandas_udf(StructType([StructField("garbled", BooleanType()), StructField("restored", StringType())]))
+def _judged_udf(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in it:
-        yield s.map(is_garbled).astype(bool)
+        yield pd.DataFrame([judged(v) for v in s], columns=["garbled", "restored"])
 
 
 def repaired(c: Column) -> Column:
@@ -203,5 +219,5 @@ def garbled(df, columns: list[str], key: Column, table_name: str):
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])
     x = df.select(key.cast("string").alias("record_id"), F.explode(pairs).alias("x")).select("record_id", "x.field", "x.value")
     x = x.filter(F.col("value").isNotNull() & suspect(F.col("value")) & F.col("record_id").isNotNull())
-    x = x.filter(_garbled_udf("value")).withColumn("restored", _repair_udf("value"))
-    return x.select(F.lit(table_name).alias("table_name"), "record_id", "field", "value", "restored").distinct()
+    x = x.withColumn("j", _judged_udf("value")).filter("j.garbled")
+    return x.select(F.lit(table_name).alias("table_name"), "record_id", "field", "value", F.col("j.restored").alias("restored")).distinct()
