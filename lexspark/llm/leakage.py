@@ -5,7 +5,8 @@ shuffle. The alphabet is the vocabulary of the test items (every other word is o
 four-word phrases of the items are searched backwards through the ranks of a wavelet matrix, all at a time;
 occurrences are located by sampled suffix positions. A passage of at least MIN_WORDS words with at most one word in
 six changed keeps three such phrases near one diagonal, so that nothing is lost; these few candidates are verified
-by an exact alignment of item and text that begins and ends with words of both. Removal spans of all items of a document are merged.
+by an exact alignment of item and text that begins and ends with words of both: the longest passage, then those before and
+after it, so that an item quoted several times is removed every time. Removal spans of all items of a document are merged.
 
 The test items are the fixed table eval_items and go to every task; documents of any length are indexed whole.
 Null and empty texts, and items of fewer than MIN_WORDS words, have no matches; repeated documents are all found.
@@ -176,6 +177,22 @@ def leaked(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int] | None:
     return best
 
 
+def passages(item: np.ndarray, whole: np.ndarray, first: int, last: int) -> list[tuple[int, int]]:
+    """(begin, end) of every passage of item in whole[first:last]: the longest, then those before and after it."""
+    out, parts = [], [(first, last)]
+    while parts:
+        first, last = parts.pop()
+        if last - first < MIN_WORDS - MIN_WORDS // ONE_IN or (found := leaked(item, whole[first:last])) is None:
+            continue
+        at, size, end = found
+        span = whole[max(first, first + end - size - size // ONE_IN) : first + end]
+        blocks = [x for x in SequenceMatcher(None, span.tolist(), item[at : at + size].tolist(), autojunk=False).get_matching_blocks() if x.size]
+        begin, end = first + end - len(span) + (blocks[0].a if blocks else 0), first + end
+        out.append((begin, end))
+        parts += [(first, begin), (end, last)]
+    return out
+
+
 def search(doc_ids: list[int], texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
     """(doc_id, item_id, first character, end character) of the leaks in one shard of documents."""
     get = items.symbol.get
@@ -207,8 +224,7 @@ def search(doc_ids: list[int], texts: list[str], items: Items) -> list[tuple[int
     place = flat[start[which[occ]] + inner]
     doc, pos = owner_[at[occ]], origin_[at[occ]]
     diagonal = pos - place[:, 1] + 4096
-    out = []
-    seen: set[tuple[int, int]] = set()
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for shift in (0, BAND // 2):
         key = np.stack([doc, place[:, 0], (diagonal + shift) // BAND], 1)
         order = np.lexsort((pos, key[:, 2], key[:, 1], key[:, 0]))
@@ -218,23 +234,20 @@ def search(doc_ids: list[int], texts: list[str], items: Items) -> list[tuple[int
         for a, b in zip(cut[ends - cut >= MIN_HITS], ends[ends - cut >= MIN_HITS]):
             d, i = int(k[a, 0]), int(k[a, 1])
             hits = order[a:b]
-            if (d, i) in seen or len(np.unique(place[hits, 1])) < MIN_HITS:
+            spans = found.setdefault((d, i), [])
+            # phrases of passages that are known already say nothing new
+            for begin, end in spans:
+                hits = hits[(pos[hits] < begin) | (pos[hits] >= end)]
+            if len(np.unique(place[hits, 1])) < MIN_HITS:
                 continue
             item, whole = items.texts[i], tokens[d]
             first, last = max(0, int(pos[hits[0]]) - len(item) - BAND), min(len(whole), int(pos[hits[-1]]) + len(item) + BAND)
-            if (found := leaked(item, whole[first:last])) is None:
-                continue
-            seen.add((d, i))
-            _, size, end = found
-            span = whole[max(first, first + end - size - size // ONE_IN) : first + end]
-            blocks = [x for x in SequenceMatcher(None, span.tolist(), item[found[0] : found[0] + size].tolist(), autojunk=False).get_matching_blocks() if x.size]
-            begin = first + end - len(span) + (blocks[0].a if blocks else 0)
-            out.append((d, i, begin, first + end))
-    return [(doc_ids[d], items.ids[i], begin, end) for d, i, begin, end in out]
+            spans += [s for s in passages(item, whole, first, last) if s not in spans]
+    return [(doc_ids[d], items.ids[i], begin, end) for (d, i), spans in found.items() for begin, end in spans]
 
 
 def find(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, end_word): every document with every item that leaked into it."""
+    """(doc_id, item_id, first_word, end_word): every passage of every item in every document."""
     rows = [(r["item_id"], r["text"]) for r in eval_items.select("item_id", "text").collect()]  # the fixed list of test items
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
