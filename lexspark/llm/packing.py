@@ -5,7 +5,11 @@ into full pieces, one container each, and a rest; everything else stays whole. I
 best-fit in decreasing order: a container has residual tokens, residual document places and residual attention cost
 (the sum of squared lengths), and among the open containers in which an item fits under every constraint the one
 is taken whose residual vector, weighted and relative to its capacity, has the smallest norm after placement.
-Without a fitting container a new one is opened, so nothing is dropped.
+Without a fitting container a new one is opened, so nothing is dropped. A container's first item is always let in: a
+text within the token capacity may cost more than shared containers are allowed, but must not be split.
+
+Each kind has its own limits: columns capacity_documents and capacity_cost of the containers where they exist and are
+not null, else what PLACE and COST give. Every one of the three excludes containers on its own.
 
 Items are packed in shards of bounded size by a hash of their id, so no task grows with the data; each shard leaves
 at most a few containers partly filled. Texts that are null or without tokens need no room: they come out without a
@@ -24,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.session import written
+
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,7 +38,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Items of a shard.
 SHARD_ITEMS = 20_000
 #: Document places and attention cost of a container, by its tokens: places = tokens / PLACE, cost = tokens ** 2 * COST.
-PLACE, COST = 4, 1.0
+#: Texts shorter than PLACE tokens on average use up the places first, a long text beside others the cost.
+PLACE, COST = 16, 0.95
 #: Weights of the residuals of tokens, places and cost.
 WEIGHTS = (1.0, 0.05, 0.1)
 
@@ -58,7 +65,7 @@ def measured(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = V
 
 
 def best_fit(sizes: list[int], tokens: int, places: int, cost: float) -> list[tuple[int, int]]:
-    """(container, offset) of each item, in the given order; sizes are at most `tokens`."""
+    """(container, offset) of each item, in the given order; sizes are at most `tokens`, places at least 1."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     out: list[tuple[int, int]] = [(0, 0)] * len(sizes)
     left: list[list[float]] = []  # residual tokens, places, cost
@@ -106,17 +113,25 @@ def best_fit(sizes: list[int], tokens: int, places: int, cost: float) -> list[tu
     return out
 
 
+def limits(containers: DataFrame) -> list[tuple[str, int, int, float]]:
+    """(container_kind, tokens, places, cost) of the handful of kinds with a positive capacity; of repeated kinds the largest."""
+    given = [F.max(c).alias(c) if c in containers.columns else F.lit(None).alias(c) for c in ("capacity_documents", "capacity_cost")]
+    kinds = containers.filter("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("tokens"), *given)
+    return [(r[0], int(r[1]), max(1, int(r[1]) // PLACE if r[2] is None else int(r[2])), float(COST * int(r[1]) ** 2 if r[3] is None else r[3])) for r in kinds.collect()]
+
+
 def packed(documents: DataFrame, containers: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(container_kind, doc_id, piece, n_tokens, container_id, position, offset): each text or piece in its place.
 
     position numbers the items of a container, offset is the first token's place in it. Kinds without a positive
     capacity hold nothing. container_id is unique within a kind.
     """
-    sizes = measured(documents, folder, vocabulary).dropDuplicates(["doc_id", "n_tokens"])
-    kinds = containers.filter("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
-    # containers of a handful of kinds: every item goes into each kind
-    offered = [(r["container_kind"], r["capacity"]) for r in kinds.collect()]
-    options = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in offered]) if offered else F.expr("cast(array() as array<struct<container_kind:string,capacity:bigint>>)")
+    # every text is tokenized once, and its size read by each part of the result
+    sizes = written(measured(documents, folder, vocabulary).dropDuplicates(["doc_id", "n_tokens"]))
+    offered = limits(containers)
+    capacity_of = {k: (places, cost) for k, _, places, cost in offered}
+    # every item goes into each kind
+    options = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c, _, _ in offered]) if offered else F.expr("cast(array() as array<struct<container_kind:string,capacity:bigint>>)")
     x = sizes.select("doc_id", "n_tokens", F.explode(options).alias("o")).select("doc_id", F.col("n_tokens").alias("total"), "o.container_kind", "o.capacity")
     empty = x.filter("total = 0").select("container_kind", "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("string").alias("container_id"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("bigint").alias("offset"))
     x = x.filter("total > 0").withColumn("piece", F.explode(F.expr("sequence(0, cast((total - 1) div capacity as int))")))
@@ -124,14 +139,13 @@ def packed(documents: DataFrame, containers: DataFrame, folder: str = TOKENIZERS
     full = x.filter("n_tokens = capacity").select(
         "container_kind", "doc_id", "piece", "n_tokens", F.concat_ws("-", F.lit("f"), F.coalesce("doc_id", F.lit(-1)), "piece").alias("container_id"), F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("offset")
     )
-    n = documents.count()
-    shards = max(1, math.ceil(n / SHARD_ITEMS))
+    shards = max(1, math.ceil(sizes.count() / SHARD_ITEMS))
     rest = x.filter("n_tokens < capacity").withColumn("shard", F.pmod(F.xxhash64("doc_id", "total"), F.lit(shards)).cast("int"))
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["doc_id", "piece", "n_tokens"], ignore_index=True)
         capacity = int(b["capacity"].iloc[0])
-        at = best_fit(b["n_tokens"].tolist(), capacity, max(1, capacity // PLACE), COST * capacity**2)
+        at = best_fit(b["n_tokens"].tolist(), capacity, *capacity_of[b["container_kind"].iloc[0]])
         b["container_id"] = [f"s{b['shard'].iloc[0]}-{c}" for c, _ in at]
         b["offset"] = [o for _, o in at]
         b["position"] = b.groupby("container_id")["offset"].rank(method="first").astype(int) - 1
