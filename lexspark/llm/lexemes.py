@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.lookalike import HOMOGLYPHS
+from lexspark.session import bounded_broadcast, written
 
 #: Words that definitions are built with, without meaning of their own.
 FUNCTION_WORDS = (
@@ -95,23 +96,60 @@ def stems(definition: Column) -> Column:
     return F.array_sort(F.filter(F.split(w, " "), lambda t: t != ""))
 
 
+def identity(*columns: Column | str) -> Column:
+    """A key of 128 bits for a combination of values; nulls and empty values differ."""
+    given = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\0")) for c in columns]
+    return F.concat(F.hex(F.xxhash64(*given)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), *given)))
+
+
+def _set_hash(w: Column, seed: str) -> Column:
+    """The exclusive or of the hashes of a set's words: taking a word out again costs one operation, however long the set."""
+    return F.aggregate(w, F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.xxhash64(F.lit(seed), t)))
+
+
 def synonyms(words: DataFrame, support: int = 3, share: float = 0.1) -> DataFrame:
     """(word, same): words that replace each other in definitions of one form, the rarer with the more frequent.
 
-    words: (k, w), form key k with sorted stems w. Learned: two definitions of a form that differ in one word only
-    make their two words a pair; a pair counts from `support` forms on and from `share` of the rarer word's forms.
-    A key with more than two words in the open place gives none, so no group is expanded into pairs. Chains
-    aren't followed: a word has one representative.
+    words: (k, w), form key k with sorted different stems w, of any length; definitions of one word share nothing that
+    could make another one its rewording. Learned: definitions of a form that differ in one word only have an open place;
+    each word in it makes a pair with the most frequent one there, which is linear in the words of a place. A pair
+    counts from `support` places on and from `share` of the rarer word's places.
     """
-    d = words.select("k", "w").distinct().filter("size(w) between 2 and 8")
-    x = d.select("k", "w", F.posexplode("w").alias("i", "word"))
-    rest = F.concat_ws(" ", F.filter("w", lambda t, j: j != F.col("i")))
+    place = ["k", "size", "h1", "h2"]
+    d = words.select("k", "w").distinct().filter("size(w) > 1")
+    x = d.select("k", F.size("w").alias("size"), _set_hash(F.col("w"), "1").alias("h1"), _set_hash(F.col("w"), "2").alias("h2"), F.explode("w").alias("word"))
+    x = x.select("k", "size", "word", *[F.col(h).bitwiseXOR(F.xxhash64(F.lit(h[1]), "word")).alias(h) for h in ("h1", "h2")])
     # keys and stems are distinct: a count of rows is a count of words in the open place
-    holes = x.select(F.xxhash64("k", rest).alias("hole"), "word").groupBy("hole").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.count("*").alias("n"))
-    pairs = holes.filter("n = 2 and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    freq = x.groupBy("word").agg(F.count("*").alias("f"))
-    p = pairs.join(freq.withColumnsRenamed({"word": "a", "f": "fa"}), "a").join(freq.withColumnsRenamed({"word": "b", "f": "fb"}), "b")
-    p = p.filter((F.col("n") >= support) & (F.col("n") >= share * F.least("fa", "fb")))
-    first = (F.col("fa") > F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")))
-    p = p.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("word"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("same"), "n")
-    return p.groupBy("word").agg(F.max(F.struct("n", "same")).alias("x")).select("word", "x.same")
+    places = written(x.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    freq = bounded_broadcast(written(x.groupBy("word").agg(F.count("*").alias("f"))))
+    members = x.join(bounded_broadcast(places), place, "left_semi").join(freq, "word")
+    tops = members.groupBy(*place).agg(F.min(F.struct((-F.col("f")).alias("f"), F.col("word").alias("same"))).alias("top"))
+    pairs = members.join(tops, place).filter("word <> top.same").groupBy("word", F.col("top.same").alias("same")).agg(F.count("*").alias("n"), F.first("f").alias("f"))
+    good = pairs.filter((F.col("n") >= support) & (F.col("n") >= share * F.col("f")))
+    return good.groupBy("word").agg(F.max(F.struct("n", "same")).alias("x")).select("word", "x.same")
+
+
+def learned(words: DataFrame) -> DataFrame:
+    """(word, same) of all synonyms: rounds of synonyms() over the words rewritten so far, until a round finds nothing.
+
+    Later rounds find words that only occur beside other synonyms. Each round leaves fewer words, so they end.
+    """
+    same = written(synonyms(words))
+    new = same
+    while not new.isEmpty():
+        new = written(synonyms(rewritten(words, same).select("k", F.array_distinct("cw").alias("w"))))
+        moved = same.join(new.select(F.col("word").alias("same"), F.col("same").alias("to")), "same", "left").select("word", F.coalesce("to", "same").alias("same"))
+        same = written(moved.unionByName(new.join(same.select("word"), "word", "left_anti")))
+    return same
+
+
+def rewritten(x: DataFrame, same: DataFrame) -> DataFrame:
+    """x with cw, the words w with synonyms replaced, sorted; null for null.
+
+    Word lists are reduced to distinct ones and only changed ones are joined back, so that a list repeated in any
+    number of rows is rewritten once; rows without words stay out of the join.
+    """
+    lists = x.filter("size(w) > 0").select("w").distinct().select("w", F.explode("w").alias("word"))
+    lists = lists.join(bounded_broadcast(same), "word", "left").groupBy("w").agg(F.array_sort(F.collect_list(F.coalesce("same", "word"))).alias("cw"), F.count("same").alias("changed"))
+    y = x.filter("size(w) > 0").join(lists.filter("changed > 0").select("w", "cw"), "w", "left").select(*x.columns, F.coalesce("cw", "w").alias("cw"))
+    return y.unionByName(x.filter("w is null or size(w) = 0").withColumn("cw", F.col("w")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import canonical, encoding
 from lexspark.llm import lexemes as X
-from lexspark.llm.survivors import SHORT_SHARE, canonical_stems, synonym_map
+from lexspark.llm.survivors import SHORT_SHARE
 from lexspark.session import written
 
 #: Prior of the labelled precision: as if a of a + b labelled pairs had been right.
@@ -61,12 +61,12 @@ def _with_words(x: DataFrame) -> DataFrame:
     return written(x).filter("sk <> ''")
 
 
-def _senses(x: DataFrame, same: Column | None, usual: int) -> DataFrame:
-    """With the canonical words cw, `sense` (their hash) of whole definitions, and a class id."""
-    x = x.withColumn("cw", canonical_stems(F.col("w"), same)).drop("w")
+def _senses(x: DataFrame, same: DataFrame, usual: int) -> DataFrame:
+    """With the canonical words cw, `sense` of whole definitions, and a class id."""
+    x = X.rewritten(x, same).drop("w")
     whole = ~F.col("cut") & (F.size("cw") >= usual)
-    x = x.withColumn("sense", F.when(whole, F.xxhash64("cw")))
-    return x.withColumn("c_id", F.xxhash64("iso", "sk", "pos", "cw", whole)).drop("cut")
+    x = x.withColumn("sense", F.when(whole, F.concat_ws(" ", "cw")))
+    return x.withColumn("c_id", X.identity("iso", "sk", "pos", F.concat_ws(" ", "cw"), F.col("cw").isNull(), whole)).drop("cut")
 
 
 def _classes(x: DataFrame) -> DataFrame:
@@ -89,7 +89,6 @@ def _passes(r: DataFrame):
     A pass has one equi-key; rules that share it differ in what else agrees. r has prefixed columns.
     """
     whole = r.filter("r_sense is not null")
-    sk = F.col("sk") == F.col("r_sk")
 
     def keyed(o: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
         on = [o[k] == right[f"r_{k}"] for k in keys]
@@ -98,12 +97,13 @@ def _passes(r: DataFrame):
             cond = cond & c
         return o.join(right, cond)
 
-    yield lambda o: keyed(o.filter("sense is not null"), whole, "iso", "loose", "sense").withColumn("rule", F.when(sk, 0).otherwise(1))
+    yield lambda o: keyed(o.filter("sense is not null"), whole, "iso", "sk", "sense").withColumn("rule", F.lit(0))
+    yield lambda o: keyed(o.filter("sense is not null"), whole, "iso", "loose", "sense").withColumn("rule", F.lit(1))
     # distinct forms of one sense are few: repeated ones are one class here
     yield lambda o: keyed(o.filter("sense is not null"), whole, "iso", "sense").withColumn("rule", F.when(_edits("sk", "r_sk"), 2))
 
     def rest(o: DataFrame) -> DataFrame:
-        x = keyed(o, r.filter("not r_bare"), "iso", "loose")
+        x, sk = keyed(o, r.filter("not r_bare"), "iso", "loose"), F.col("sk") == F.col("r_sk")
         a, b = F.least(F.size("cw"), F.size("r_cw")), F.size(F.array_intersect("cw", "r_cw"))
         # two whole senses that differ in a word are one reworded; a part must be contained but for its broken end
         partial = F.coalesce((b >= PARTIAL_WORDS) & (b >= a - 1), F.lit(False))
@@ -130,8 +130,8 @@ def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFram
     e, r = _with_words(entry_senses(entries, languages)), _with_words(record_senses(meta))  # repeated rows end in the last aggregate
     words = e.select("iso", "sk", "w", "cut").unionByName(r.select("iso", "sk", "w", "cut")).filter("w is not null and not cut")
     usual = max(words.select(F.percentile_approx(F.size("w"), SHORT_SHARE)).first()[0] or 0, 2)
-    same = synonym_map(words.select(F.xxhash64("iso", "sk").alias("k"), "w"))
-    e, r = _senses(e, same, usual), _senses(r, same, usual)
+    same = X.learned(words.select(F.concat_ws("|", "iso", "sk").alias("k"), "w"))
+    e, r = written(_senses(e, same, usual)), written(_senses(r, same, usual))
     open_, rc = written(_classes(e)), written(_record_side(_classes(r)))
     known = (F.col("sound") != "") & (F.col("r_sound") != "")
     right = known & (1 - F.levenshtein("sound", "r_sound") / F.greatest(F.length("sound"), F.length("r_sound")) >= SAME_SOUND)
