@@ -29,6 +29,13 @@ def test_encoding_round_trip(words, page):
     assert encoding.is_garbled(garbled) == (garbled != text)
 
 
+def test_encoding_repeats_to_the_end():
+    text = "zufis “kůt” été"
+    for _ in range(7):
+        text = text.encode("utf-8").decode("latin-1")
+    assert encoding.repair(text) == "zufis “kůt” été"
+
+
 def test_encoding_edges(spark):
     rows = [("a", "sÃ£upikirÃµr", "x"), ("b", None, "x"), ("c", "", "x"), ("d", "wepaigr��ileth", "x"), ("e", "bráu", "x"), (None, "Ã©", "x"), ("f", "kÃ©" * 20000, "x"), ("a", "sÃ£upikirÃµr", "x"), ("g", "ÃƒÂ©tÃƒÂ©", "x"), ("h", "êåâåâèåòõ", "x"), ("i", "\x93kot\x94", "x")]
     x = spark.createDataFrame(rows, "id string, text string, field string")
@@ -41,6 +48,16 @@ def test_encoding_edges(spark):
 ATT = "id string, text_excerpt string, text_source string, page_reference string, word string, n int"
 
 
+def test_scans_of_any_script(spark):
+    assert all(scans._py_hash(c) >= 0 for c in "ἀ中한𐍈")
+    texts = ["ἀρχή τοῦ λόγου ἦν", "中文字 漢字漢字", "한국어 말씀이라", "ႠႡႢ ႣႤႥ", "𐌰𐌱𐌲𐌳 𐌴𐌵𐌶"]
+    rows = [(f"u{i}-{k}", t, None, None, "x", 1) for i in range(6) for k, t in enumerate(texts)]
+    x = spark.createDataFrame(rows, ATT)
+    assert scans.found(x).count() == 0
+    words = spark.createDataFrame([(w,) for t in texts for w in t.split()], "word string")
+    assert {r["word"]: r["h"] for r in words.withColumn("h", scans._hash(F.col("word"))).collect()} == {w: scans._py_hash(w) for t in texts for w in t.split()}
+
+
 def test_scans(spark):
     clean = ["They pressed the acorns and named it ever after.", "The ribbed basket stood beside the fence until 1003.", "Let the seed be soaked on the 4th day, and the honey on the 9th.", "Two hands were\nseen here.", "She said no —\nand left the table."]
     rows = [(f"c{i}-{k}", t, "Vashny Chronicle", "p. 12", "x", 1) for i in range(90) for k, t in enumerate(clean)]
@@ -61,6 +78,27 @@ def test_scans(spark):
     assert scans.found(x.limit(0)).count() == 0
 
 
+def test_each_limit_decides():
+    sizes = [100] * 6
+    used = lambda *limit: len({c for c, _ in packing.best_fit(sizes, *limit)})
+    assert used(600, 99, 1e9) == 1
+    assert used(300, 99, 1e9) == 2  # tokens
+    assert used(600, 2, 1e9) == 3  # places
+    assert used(600, 99, 10_000.0) == 6  # cost
+    assert used(600, 99, 20_000.0) == 3
+    assert packing.best_fit([100], 100, 1, 5.0) == [(0, 0)]  # alone it is let in
+    # the norm of the rest decides between two containers with room: fewer free tokens win
+    assert [c for c, _ in packing.best_fit([90, 60, 10], 100, 9, 1e9)] == [0, 1, 0]
+
+
+def test_limits_of_a_kind(spark):
+    docs = spark.createDataFrame([(i, "word " * 40) for i in range(60)], "doc_id bigint, text string")
+    kinds = spark.createDataFrame([("few", 2048, 2, None), ("cheap", 2048, None, 4000.0), ("plain", 2048, None, None)], "container_kind string, capacity_tokens int, capacity_documents int, capacity_cost double")
+    got = packing.packed(docs, kinds).groupBy("container_kind").agg(F.count_distinct("container_id").alias("n")).collect()
+    assert {r["container_kind"]: r["n"] for r in got} == {"few": 30, "cheap": 30, "plain": 2}
+    assert {k: (p, c) for k, _, p, c in packing.limits(kinds)} == {"few": (2, 0.95 * 2048**2), "cheap": (128, 4000.0), "plain": (128, 0.95 * 2048**2)}
+
+
 def test_packing(spark):
     docs = [(i, "word " * (i * 37 % 300 + 1)) for i in range(300)] + [(900, "token " * 3000), (901, None), (902, ""), (903, "x" * 4000)]
     x = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("capacity", F.lit(1))
@@ -142,6 +180,12 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]) for r in leakage.find(x, e).collect()}
     assert got == {(d, i) for d, (i, _, _, leaks) in cases.items() if leaks}
     assert leakage.find(x.limit(0), e).count() == 0 and leakage.find(x, e.limit(0)).count() == 0
+    # an item quoted three times, the second time slightly changed, leaves three spans
+    parts = [filler(30), passage(0, 20, 0), filler(50), passage(0, 24, 3), filler(3), passage(0, 30, 0), filler(9)]
+    twice = spark.createDataFrame([(1, " ".join(sum(parts, [])))], "doc_id bigint, text string")
+    spans = sorted((r["first_word"], r["end_word"]) for r in leakage.find(twice, e).collect())
+    ends = [sum(map(len, parts[:k])) for k in range(8)]
+    assert len(spans) == 3 and all(abs(a - ends[k]) <= 3 and abs(b - ends[k + 1]) <= 3 for (a, b), k in zip(spans, (1, 3, 5)))
 
 
 @settings(max_examples=25, deadline=None)
