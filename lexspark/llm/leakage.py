@@ -193,6 +193,17 @@ def passages(item: np.ndarray, whole: np.ndarray, first: int, last: int) -> list
     return out
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap as one: windows of neighbouring bands may see one passage to different ends."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
 def search(doc_ids: list[int], texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
     """(doc_id, item_id, first character, end character) of the leaks in one shard of documents."""
     get = items.symbol.get
@@ -242,8 +253,8 @@ def search(doc_ids: list[int], texts: list[str], items: Items) -> list[tuple[int
                 continue
             item, whole = items.texts[i], tokens[d]
             first, last = max(0, int(pos[hits[0]]) - len(item) - BAND), min(len(whole), int(pos[hits[-1]]) + len(item) + BAND)
-            spans += [s for s in passages(item, whole, first, last) if s not in spans]
-    return [(doc_ids[d], items.ids[i], begin, end) for (d, i), spans in found.items() for begin, end in spans]
+            spans += passages(item, whole, first, last)
+    return [(doc_ids[d], items.ids[i], begin, end) for (d, i), spans in found.items() for begin, end in united(spans)]
 
 
 def find(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
