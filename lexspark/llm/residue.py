@@ -1,13 +1,15 @@
 """Template residue and error-page text (problem 10).
 
-A page that answers with an error or an unfilled template differs from real content in four ways, each of which
+A page that answers with an error or an unfilled template differs from real content in three ways, each of which
 is one kind of evidence here:
 
-* placeholder detectors: a field name in the delimiters of some template language, or words that stand for one;
-* response detectors: sentences of servers and browsers, in the languages of the corpus;
-* filler: sentences of dummy Latin or of one token repeated;
-* duplicated low information: a body that shares no term with its title or slug and has words that servers use,
-  where its shape (digits removed) recurs over hosts or most of what its host delivers is like that.
+* placeholder detectors: a field name in the delimiters of some template language, words that stand for one, and
+  filler: sentences of dummy Latin or of one token repeated;
+* mismatched responses: sentences that servers and browsers say, in the languages of the corpus, and that share no
+  terms with the title and the body around them. A text that treats of such a sentence takes its terms up again;
+  then the sentence counts only where its shape (letters alone) recurs over hosts or its host delivers little else;
+* duplicated low information: a body that shares no term with its title and has words that servers use, under the same
+  conditions of shape and host.
 
 documents has no address: the slug is taken from the terms of language_code's title line, the host is `source`.
 What a text mentions or quotes is taken out first: quoted spans, filled-in markup ({{IPA|...}}, [[form]]) and
@@ -16,12 +18,19 @@ sentences about a word or a notation. Null and empty texts are never residue; le
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from re import _parser as regex
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
-from lexspark.session import written
+from lexspark.llm.lexemes import identity
+from lexspark.session import bounded_broadcast, written
 
 #: Quoted spans of the corpus languages, at most one sentence long.
 QUOTED = r"“[^”\n]{0,200}”|„[^“\n]{0,200}“|«[^»\n]*[ \x{a0}][^»\n]{0,200}»|\"[^\"\n]{0,200}\""
@@ -52,9 +61,10 @@ RESPONSES = (
     r"(?i)\bis (?:not|no longer) available\b", r"(?i)página (?:no encontrada|que busca)", r"(?i)\bvuelva a intentarlo\b", r"(?i)\bmay have been moved or deleted\b", r"(?i)\bwhile (?:fetching|loading|parsing|reading) (?:record|headword|entry|quotation|page)\b",
     r"(?m)^(?:fatal|panic|ERROR|FATAL|Warning|Uncaught \w+): ", r"(?i)\byou requested\b", r"(?i)\bmust be (?:signed|logged) in\b", r"(?i)\b(?:database|server|socket|connection) (?:failed|refused|error|closed|reset|lost|did not|is down|was lost)\b",
     r"(?i)\b(?:unexpected end of file|no such file|out of memory|stack overflow|core dumped|connection (?:failed|refused|timed out))\b", r"(?i)\bdoes not exist at character\b",
-    # two lines of page furniture: menus, sign-in and cookie links
-    r"(?m)(?:^(?:[\p{L} ]+(?: \| [\p{L} ]+)+|Sign in|Log in|Accept cookies|Back to top|Menu|Contact the editors|Skip to content)$[\s\S]*?){2}",
 )
+#: Lines of page furniture: menus, sign-in and cookie links; two of them make an answer.
+FURNITURE = r"(?m)^(?:[\p{L} ]+(?: \| [\p{L} ]+)+|Sign in|Log in|Accept cookies|Back to top|Menu|Contact the editors|Skip to content)$"
+FURNITURE_LINES = 2
 #: Weaker words of such answers; they count with duplication only.
 WEAK = r"(?i)\b(?:retry|reload|sign in|log in|cookies|expired|unavailable|forbidden|timeout|maintenance|site owner|go back|moved|deleted|loading|server|request|home \| |contact the)\b"
 #: Dummy Latin.
@@ -65,30 +75,61 @@ LOREM_SHARE, LOREM_WORDS = 0.7, 4
 REPEATED = r"(?i)(?:^|[.\n]\s*)(\S{2,12})(?:\s+\1\b){5,}"
 #: A shape is duplicated from this many hosts on.
 COPIES = 2
+#: An answer belongs to its text from this many terms on that it shares with the rest of it.
+SHARED = 2
 #: A host answers in place of its documents from this share of low information on, and this many texts of it.
 HOST_SHARE, HOST_TEXTS = 0.5, 4
 
 
+#: Dummy Latin words, as words.
+DUMMY = rf"\b(?:{LOREM.replace(' ', '|')})\b"
+
+
 #: Characters too common in plain texts to tell anything on their own.
 COMMON = " .,;:!?'-()\n"
 
 
-def needles(pattern: str) -> set[str] | None:
-    """Lower-case strings one of which, case aside, is in every match of the pattern; None if it has no telling ones."""
+def needles(pattern: str, most: int = 1) -> set[str] | None:
+    """Lower-case strings one of which, case aside, is in every match of the pattern; None if it has no telling ones.
+
+    Alternatives beside literal text are multiplied out with it up to `most` strings.
+    """
 
     def telling(s: str) -> bool:
         return len(s) > 2 or any(not c.isalnum() and c not in COMMON for c in s)
 
+    def plain(items) -> set[str] | None:
+        """All strings that a part of a pattern stands for, if it is literal."""
+        out = {""}
+        for op, arg in items:
+            if op is regex.LITERAL:
+                got = {chr(arg).lower()}
+            elif op is regex.SUBPATTERN:
+                got = plain(arg[3])
+            elif op is regex.BRANCH:
+                each = [plain(x) for x in arg[1]]
+                got = None if None in each else set().union(*each)
+            elif op is regex.AT:
+                got = {""}
+            else:
+                got = None
+            if not got or len(out) * len(got) > most:
+                return None
+            out = {x + y for x in out for y in got}
+        return out
+
     def walk(items) -> set[str] | None:
         found: list[set[str]] = []
-        run = ""
+        run = {""}
         for op, arg in [*items, (None, None)]:
-            if op is regex.LITERAL:
-                run += chr(arg).lower()
+            if op is not None and op is not regex.AT and (more := plain([(op, arg)])) and len(run) * len(more) <= most:
+                run = {x + y for x in run for y in more}
                 continue
-            if telling(run):
-                found.append({run})
-            run, got = "", None
+            if op is regex.AT:
+                continue
+            if all(map(telling, run)):
+                found.append(run)
+            run, got = {""}, None
             if op is regex.SUBPATTERN:
                 got = walk(arg[3])
             elif op in (regex.MAX_REPEAT, regex.MIN_REPEAT) and arg[0] > 0:
@@ -107,34 +148,60 @@ def needles(pattern: str) -> set[str] | None:
     return walk(regex.parse(pattern.replace(r"\p{L}", "a")))
 
 
+#: Alternatives of a pattern are multiplied out up to this many strings: longer ones are rarer.
+MOST_NEEDLES = 64
+
+
 def _prefilter(patterns: list[str]) -> tuple[list[str], list[str]]:
     """(strings, patterns): a text without any of the strings, case aside, and matches of the patterns has no match."""
-    got = {p: needles(p) for p in patterns}
+    got = {p: needles(p, MOST_NEEDLES) for p in patterns}
     strings = set().union(*[n for n in got.values() if n])
     # a string within another one finds all that the longer one does
     return sorted(n for n in strings if not any(m != n and m in n for m in strings)), [p for p, n in got.items() if not n]
 
 
-DUMMY = rf"(?i)\b(?:{LOREM.replace(' ', '|')})\b"
-#: A content without any of these holds no residue; a plain scan that spares most texts the detectors. REPEATED is not
-#: among them: it looks at beginnings of sentences only and is as cheap as a scan.
-STRINGS, REST = _prefilter([*PLACEHOLDERS, *RESPONSES, WEAK])
-REST.append(DUMMY)  # short words; they tell at word boundaries only
+#: A text without any of these holds no residue; the strings are what the automaton looks for.
+STRINGS, REST = _prefilter([*PLACEHOLDERS, *RESPONSES, FURNITURE, WEAK])
+#: Equal words in a row that a repeated token has at least.
+ROW = 4
+
+
+class Prefilter:
+    """Whether a detector may match a text: one automaton of all strings, then the rest on texts without one."""
+
+    def __init__(self) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for n in STRINGS:
+            self.automaton.add_word(n, n)
+        self.automaton.make_automaton()
+        # the content of a text has line ends that the text hasn't: beginnings of lines are anywhere here
+        rest = [p.replace(r"(?:^|\n)", "") for p in REST]
+        self.rest = re.compile("|".join([*(f"(?:{p})" for p in rest), DUMMY]), re.MULTILINE | re.IGNORECASE)
+
+    def __call__(self, text: str) -> bool:
+        low = text.lower()
+        if next(self.automaton.iter(low), None) is not None or self.rest.search(low):
+            return True
+        words = low.split()
+        return any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[ROW - 1 :]))
+
+
+@pandas_udf(BooleanType())
+def _may(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    test = Prefilter()
+    for s in it:
+        yield s.map(lambda t: bool(t) and test(t)).astype(bool)
 
 
 def triggered(c: Column) -> Column:
     """Whether a detector may match; true wherever one does."""
-    low = F.lower(c)
-    out = c.rlike(REPEATED)
-    for n in STRINGS:
-        out = out | F.contains(low, F.lit(n))
-    return out | c.rlike("(?m)" + "|".join(f"(?:{p})" for p in REST))
+    return _may(c)
 
 
 def content(text: Column) -> Column:
     """The text without what it merely mentions or quotes, one sentence or line a line."""
     x = F.regexp_replace(text, QUOTED, "“”")
-    x = F.regexp_replace(x, FILLED, "")
+    x = F.regexp_replace(x, FILLED, "\ufffc")  # no word or sign grows together over it
     return F.array_join(F.filter(F.split(x, r"(?<=[.!?…]) +|\n"), lambda s: ~s.rlike(MENTION)), "\n")
 
 
@@ -149,40 +216,54 @@ def _lorem(x: Column) -> Column:
         w = F.filter(F.split(F.lower(s), r"[^\p{L}]+"), lambda t: t != "")
         return (F.size(w) >= LOREM_WORDS) & (F.size(F.filter(w, lambda t: F.array_contains(words, t))) >= LOREM_SHARE * F.size(w))
 
-    return F.when(x.rlike(DUMMY), F.exists(F.split(x, r"[.!?\n]+"), dummy)).otherwise(False)
+    return F.when(x.rlike("(?i)" + DUMMY), F.exists(F.split(x, r"[.!?\n]+"), dummy)).otherwise(False)
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source) with placeholder, response, filler and duplicated in place of the text.
+    """docs (doc_id, text, source) with placeholder, filler, response and duplicated in place of the text.
 
     Repeated rows are judged alike; a null source counts as one host. Shapes are reduced to one row a host before
     their hosts are counted (partial sums first), so a page copied any number of times stays one row of that count.
     """
-    docs = docs.drop("_c", "low", "shape", "hosts", "host", "answers", "placeholder", "response", "filler", "duplicated")
-    x = docs.withColumn("_c", content(F.col("text")))
-    x = x.withColumn("_c", F.when(triggered(F.col("_c")), F.col("_c")).otherwise(""))
+    kept = [c for c in docs.columns if c not in ("text", "_c", "_may", "answer", "shape", "host", "kind", *SIGNS)]
+    x = docs.select(*kept, "text").withColumn("_may", triggered(F.col("text")))
+    x = x.withColumn("_c", F.when(F.col("_may"), content(F.col("text"))).otherwise(""))
+    single = "|".join(f"(?:{p})" for p in RESPONSES)
     x = x.withColumn("placeholder", F.col("_c").rlike("(?m)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS)))
-    x = x.withColumn("response", F.col("_c").rlike("|".join(f"(?:{p})" for p in RESPONSES)))
     x = x.withColumn("filler", _lorem(F.col("_c")) | F.col("_c").rlike(REPEATED))
-    title = F.element_at(F.split("_c", r"\n"), 1)
-    body = F.regexp_replace("_c", r"^[^\n]*(?:\n|$)", "")
-    # low information: the body takes up no term of its title, where there is one
-    x = x.withColumn("low", F.col("_c").rlike(WEAK) & (F.size(F.array_intersect(_terms(title), _terms(body))) == 0))
-    x = x.withColumn("shape", F.when(F.col("low"), F.xxhash64(F.regexp_replace(F.lower("_c"), r"[^\p{L}]+", " "))))
-    out = [c for c in docs.columns if c != "text"] + ["placeholder", "response", "filler"]
-    x = written(x.select(*out, "shape"))  # the texts are read once
-    low = x.filter("shape is not null").withColumn("host", F.coalesce("source", F.lit("")))
-    shapes = low.groupBy("shape", "host").agg(F.count("*").alias("n")).groupBy("shape").agg(F.count("*").alias("hosts"))
-    host = x.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.count("shape").alias("k"))
-    host = host.filter((F.col("k") >= HOST_TEXTS) & (F.col("k") >= HOST_SHARE * F.col("n"))).select("host", F.lit(True).alias("answers"))
+    # the sentences of an answer, if there are any: lines of furniture count together
+    lines = F.split("_c", "\n")
+    furniture = F.size(F.filter(lines, lambda s: s.rlike(FURNITURE))) >= FURNITURE_LINES
+    speaks = lambda s: s.rlike(single) | (furniture & s.rlike(FURNITURE))
+    said = F.when(F.col("_c").rlike(single) | F.when(F.col("_c").rlike(FURNITURE), furniture).otherwise(False), F.array_join(F.filter(lines, speaks), "\n"))
+    x = x.withColumn("answer", F.nullif(said, F.lit("")))
+    # mismatched: what is answered shares no terms with the title and the body around it
+    around = F.array_join(F.filter(lines, lambda s: ~speaks(s)), " ")
+    x = x.withColumn("mismatched", F.when(F.col("answer").isNotNull(), F.size(F.array_intersect(_terms(F.col("answer")), _terms(around))) < SHARED))
+    title, body = F.element_at(lines, 1), F.regexp_replace("_c", r"^[^\n]*(?:\n|$)", "")
+    # low information: weak words only, and the body takes up no term of its title, where there is one
+    low = F.col("_c").rlike(WEAK) & (F.size(F.array_intersect(_terms(title), _terms(body))) == 0)
+    answer = F.coalesce("answer", F.when(low, F.col("_c")))
+    x = x.withColumn("shape", F.when(answer.isNotNull(), identity(F.regexp_replace(F.lower(answer), r"[^\p{L}]+", " "))))
+    x = x.withColumn("low", low & F.col("answer").isNull())
+    # the texts are read once
+    x = written(x.select(*kept, "placeholder", "filler", F.col("answer").isNotNull().alias("answered"), F.coalesce("mismatched", F.lit(False)).alias("mismatched"), "low", "shape"))
+    told = x.filter("shape is not null").withColumn("host", F.coalesce("source", F.lit("")))
+    hosts = told.groupBy("shape", "host").agg(F.count("*").alias("n")).groupBy("shape").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= COPIES).select("shape", F.lit(True).alias("recurs"))
+    lead = x.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.count("shape").alias("k"))
+    lead = lead.filter((F.col("k") >= HOST_TEXTS) & (F.col("k") >= HOST_SHARE * F.col("n"))).select("host", F.lit(True).alias("leads"))
     # texts without such words, nearly all of them, stay out of the joins: they share the null key
-    out.append("duplicated")
-    low = low.join(shapes, "shape").join(host, "host", "left").withColumn("duplicated", (F.col("hosts") >= COPIES) | F.col("answers").isNotNull())
-    return x.filter("shape is null").withColumn("duplicated", F.lit(False)).select(*out).unionByName(low.select(*out))
+    told = told.join(bounded_broadcast(written(hosts)), "shape", "left").join(bounded_broadcast(written(lead)), "host", "left")
+    told = told.withColumn("common", F.col("recurs").isNotNull() | F.col("leads").isNotNull())
+    told = told.withColumn("response", F.col("answered") & (F.col("mismatched") | F.col("common"))).withColumn("duplicated", F.col("low") & F.col("common"))
+    rest = x.filter("shape is null").withColumns({"response": F.lit(False), "duplicated": F.lit(False)})
+    return told.select(*kept, *SIGNS).unionByName(rest.select(*kept, *SIGNS))
+
+
+#: What evidence() adds.
+SIGNS = ("placeholder", "response", "filler", "duplicated")
 
 
 def residue(docs: DataFrame) -> DataFrame:
     """Documents in which residue stands in place of content, with the evidence."""
     return evidence(docs).filter("placeholder or response or filler or duplicated")
-
-

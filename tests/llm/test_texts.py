@@ -232,6 +232,24 @@ def test_needles_are_in_every_match():
         assert residue.needles(p) or p in residue.REST
 
 
+def test_needles_multiplied_out():
+    assert residue.needles(r"(?:Error|Fehler) \d", 64) == {"error ", "fehler "}
+    assert residue.needles(r"\bwhile (?:reading|loading) (?:page|\w+)", 64) == {"while reading ", "while loading "}
+    assert residue.needles(residue.FURNITURE, 64) or residue.FURNITURE in residue.REST
+    may = residue.Prefilter()
+    assert all(may(t) for t in RESIDUE + NAMED + WEAKLY) and not may("Plain words of an old register.")
+
+
+def test_responses_that_a_text_takes_up(spark):
+    own = "The gateway of Usk.\nBad gateway records were kept in the gateway records hall.\nKept records name the hall."
+    answered = "The gateway of Usk.\nA hall of wood.\nService unavailable."
+    rows = [(1, own, "a"), (2, answered, "a"), (3, "Old oak.\nSpeech of trees.", "b")]
+    schema = "doc_id bigint, text string, source string"
+    assert {r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, schema)).collect()} == {2}
+    # the same sentence over two hosts is an answer all the same
+    assert {r["doc_id"] for r in residue.residue(spark.createDataFrame([*rows, (4, own, "c")], schema)).collect()} == {1, 2, 4}
+
+
 def test_residue_hosts(spark):
     notes = ["Old form.\nMoved to the hill.", "Old word.\nIn a server hall.", "Old sign.\nRequest for grain.", "Old tale.\nExpired in May."]
     rows = [("one", "Old oak.\nDeleted in the margin.")] * 2 + [("one", f"plain words {k}") for k in range(9)]  # copies of one host
