@@ -6,20 +6,20 @@ are then compared by soft TF-IDF, and the best name wins if it is good enough an
 A value written without or with misplaced spaces is compared as a whole in the same way, its letters being one
 more token.
 
-The reference list is the fixed table languages (45 rows), so its tokens are broadcast; entered values are
-reduced to distinct ones before any of this. Null, blank and unknown values come out as unmatched; ties between
-names as well. An empty list leaves everything unmatched.
+Candidates come from an equi-join on segments of tokens, whatever the size of the list: its tables are broadcast below
+a counted bound and shuffled beyond it. Entered values are reduced to distinct ones before any of this; pairs of name
+and code that hold a large share of the rows are split off when rows are joined back. Null, blank and unknown values
+come out as unmatched; ties between names as well. An empty list leaves everything unmatched.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.session import written
+from lexspark.session import HOT, bounded_broadcast, written
 
 
 UNMATCHED = "none"
@@ -71,57 +71,82 @@ def clean_code(c: Column) -> Column:
     return F.regexp_replace(fold(c), "^[^\\p{L}]+|[^\\p{L}]+$", "")
 
 
+def _edits(a: Column, b: Column) -> Column:
+    """The edits that two tokens of these lengths may be apart."""
+    return F.floor((1 - MIN_TOKEN) * F.greatest(a, b) + 1e-9).cast("int")
+
+
+def near(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(t, part, token, idf, sim) of tokens (t, part) and vocabulary (token, idf, part) at least MIN_TOKEN alike.
+
+    An equi-join finds the candidates, whatever the sizes: of K edits, K + 1 segments of t leave one untouched, so a
+    reference token has it within K places of where it stands in t. The reference tokens, the smaller side, are listed
+    by all their windows; a token of the values by its own few segments. A swap of two neighbours counts as one edit:
+    tokens with the same letters meet as well.
+    """
+    seg = lambda n, k: f"transform(sequence(0, {k}), i -> struct(i as seg, cast(floor(i * {n} / ({k} + 1)) as int) as at, cast(floor((i + 1) * {n} / ({k} + 1)) as int) as til))"
+    # by reference token: each length that a token of the values may have, and the edits that go with it
+    v = vocabulary.select("token", "part", "idf", F.length("token").alias("m"))
+    v = v.withColumn("n", F.explode(F.expr(f"sequence(greatest(1, cast(ceil(m * {MIN_TOKEN} - 1e-9) as int)), cast(floor(m / {MIN_TOKEN} + 1e-9) as int))")))
+    v = v.withColumn("k", _edits(F.col("m"), F.col("n"))).withColumn("s", F.explode(F.expr(seg("n", "k"))))
+    v = v.withColumn("p", F.explode(F.expr("sequence(greatest(0, s.at - k), least(m, s.at + k))")))
+    v = v.select("token", "part", "idf", "n", "k", F.col("s.seg").alias("seg"), F.expr("substr(token, p + 1, s.til - s.at)").alias("piece")).filter("length(piece) > 0 or k >= n").distinct()
+    t = tokens.withColumn("n", F.length("t"))
+    t = t.withColumn("k", F.explode(F.expr(f"sequence(cast(floor({1 - MIN_TOKEN} * n + 1e-9) as int), cast(floor({1 - MIN_TOKEN} * floor(n / {MIN_TOKEN} + 1e-9) + 1e-9) as int))")))
+    t = t.withColumn("s", F.explode(F.expr(seg("n", "k")))).select("t", "part", "n", "k", F.col("s.seg").alias("seg"), F.expr("substr(t, s.at + 1, s.til - s.at)").alias("piece"))
+    pairs = t.join(bounded_broadcast(written(v)), ["part", "n", "k", "seg", "piece"]).select("t", "part", "token", "idf")
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    swapped = tokens.withColumn("l", letters(F.col("t"))).join(bounded_broadcast(vocabulary.withColumn("l", letters(F.col("token")))), ["part", "l"]).select("t", "part", "token", "idf")
+    x = pairs.unionByName(swapped).distinct()
+    d = F.levenshtein("t", "token")
+    d = F.when((letters(F.col("t")) == letters(F.col("token"))) & (d == 2), 1).otherwise(d)
+    return x.withColumn("sim", 1 - d / F.greatest(F.length("t"), F.length("token"))).filter(F.col("sim") >= MIN_TOKEN)
+
+
 def by_name(values: DataFrame, languages: DataFrame) -> DataFrame:
     """(language, iso_code, score) for distinct entered names; unmatched ones are absent.
 
     values: (language), any number of repeats.
     """
-    spark = values.sparkSession
-    ref = reference(languages).collect()  # the fixed canonical list, a few names a row
+    ref = written(reference(languages))
     v = values.select("language").distinct().withColumn("f", fold(F.col("language"))).filter("f <> ''")
     # a remark in brackets, after a slash or before a colon isn't part of the name, unless nothing else is there
     core = F.trim(F.regexp_replace(F.regexp_replace("f", "\\([^)]*\\)|\\[[^\\]]*\\]", " "), "\\s*/.*$|^[\\p{L}-]{2,7}:", " "))
     v = v.withColumn("core", F.when(F.length(core) > 0, core).otherwise(F.col("f")))
     every = F.array(*map(F.lit, QUALIFIERS.split()))
-    v = v.withColumn("is_name", F.array_contains(F.array(*[F.lit(r["name"]) for r in ref] or [F.lit("")]), F.col("core")))
+    v = v.join(bounded_broadcast(ref.select(F.col("name").alias("core"), F.lit(True).alias("is_name")).distinct()), "core", "left")
     aside = F.flatten(F.transform(F.regexp_extract_all("f", F.lit("[(\\[]([^)\\]]*)[)\\]]"), F.lit(1)), _words))
     aside = F.filter(aside, lambda w: w.isin(*STAGES))
     v = v.withColumn("all", F.when(F.col("core") == F.col("f"), _words(F.col("core"))).otherwise(F.concat(aside, _words(F.col("core"))))).withColumn("kept", F.filter("all", lambda w: ~F.array_contains(every, w)))
-    v = v.withColumn("words", F.when(F.col("is_name") | (F.size("kept") == 0), F.col("all")).otherwise(F.col("kept")))
+    v = v.withColumn("words", F.when(F.col("is_name").isNotNull() | (F.size("kept") == 0), F.col("all")).otherwise(F.col("kept")))
     v = written(v.filter(F.size("words") > 0).select("language", "words", F.array_join("words", "").alias("whole")))
 
     # vocabulary: the words of all names, and all names written together; weight: inverse document frequency
-    n = max(1, len(ref))
+    n = max(1, ref.count())
     rare = math.log(n) + 1
-    df = Counter(w for r in ref for w in set(r["words"]))
-    idf = {w: math.log(n / k) + 1 for w, k in df.items()}
-    rows = [(w, x, True) for w, x in idf.items()] + [(w, rare, False) for w in {r["whole"] for r in ref}]
-    vocabulary = F.broadcast(spark.createDataFrame(rows, "token string, idf double, part boolean"))
-    beginnings = F.broadcast(spark.createDataFrame([(w[:k], w, x) for w, x in idf.items() for k in range(1, min(ABBREVIATION, len(w) - 1) + 1)], "t string, token string, idf double"))
-    norm = {r["name_id"]: math.sqrt(sum(idf[w] ** 2 for w in set(r["words"]))) for r in ref}
-    name_words = F.broadcast(spark.createDataFrame([(r["name_id"], r["iso_code"], w, norm[r["name_id"]]) for r in ref for w in set(r["words"])], "name_id bigint, iso_code string, token string, norm double"))
-    wholes = F.broadcast(spark.createDataFrame([(r["whole"], r["iso_code"]) for r in ref], "token string, iso_code string"))
+    own_words = ref.select("name_id", "iso_code", F.explode(F.array_distinct("words")).alias("token"))
+    idf = written(own_words.groupBy("token").agg((F.log(F.lit(n) / F.count("*")) + 1).alias("idf")))
+    wholes = ref.select(F.col("whole").alias("token"), "iso_code").distinct()
+    vocabulary = written(idf.select("token", "idf", F.lit(True).alias("part")).unionByName(wholes.select("token", F.lit(rare).alias("idf"), F.lit(False).alias("part")).distinct()))
+    weighed = own_words.join(bounded_broadcast(idf), "token")
+    norm = weighed.groupBy("name_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    name_words = written(weighed.join(norm, "name_id").select("name_id", "iso_code", "token", "norm"))
 
     tokens = v.select(F.explode(F.concat(F.transform("words", lambda w: F.struct(w.alias("t"), F.lit(True).alias("part"))), F.array(F.struct(F.col("whole").alias("t"), F.lit(False).alias("part"))))).alias("x")).select("x.t", "x.part").distinct()
-    room = F.floor((1 - MIN_TOKEN) * F.greatest(F.length("t"), F.length("token"))).cast("int")
-    near = tokens.join(vocabulary, (tokens["part"] == vocabulary["part"]) & (F.abs(F.length("t") - F.length("token")) <= room)).select("t", tokens["part"], "token", "idf")
-    # a swap of two neighbours counts as one edit: compare the sorted letters as well
-    anagram = F.array_sort(F.split("t", "")) == F.array_sort(F.split("token", ""))
-    d = F.levenshtein("t", "token")
-    d = F.when(anagram & (d == 2), 1).otherwise(d)
-    near = near.withColumn("sim", 1 - d / F.greatest(F.length("t"), F.length("token")))
-    short = tokens.filter((F.col("part")) & (F.length("t") <= ABBREVIATION)).join(beginnings, "t")
-    near = near.unionByName(short.select("t", "part", "token", "idf", F.lit(ABBREVIATED).alias("sim")))
-    near = near.filter(F.col("sim") >= MIN_TOKEN)
+    tokens = written(tokens)
+    close = near(tokens, vocabulary)
+    beginnings = idf.filter("length(token) > 1").select(F.explode(F.expr(f"transform(sequence(1, least({ABBREVIATION}, length(token) - 1)), k -> substr(token, 1, k))")).alias("t"), "token", "idf")
+    short = tokens.filter((F.col("part")) & (F.length("t") <= ABBREVIATION)).join(bounded_broadcast(beginnings), "t")
+    close = close.unionByName(short.select("t", "part", "token", "idf", F.lit(ABBREVIATED).alias("sim")))
     top = Window.partitionBy("t", "part")
-    repaired = written(near.withColumn("best", F.max("sim").over(top)).filter(F.col("sim") >= F.col("best") - MARGIN).drop("best"))
+    repaired = written(close.withColumn("best", F.max("sim").over(top)).filter(F.col("sim") >= F.col("best") - MARGIN).drop("best"))
 
     # soft TF-IDF over words: sum of products of weights of repaired words, by the names that contain them; a word
     # weighs what its repair in that name weighs, or as much as the rarest if it has none there
     words = v.select("language", F.size("words").alias("k"), F.posexplode("words").alias("i", "t")).join(repaired.filter("part").drop("part"), "t")
     # a word of the name goes to the entered word closest to it
     closest = Window.partitionBy("language", "name_id", "token")
-    hits = words.join(name_words, "token").withColumn("top", F.max("sim").over(closest)).filter("sim = top").groupBy("language", "k", "name_id", "iso_code", "norm", "i").agg(F.max(F.struct(F.col("sim") * F.col("idf") ** 2, "token", "idf")).alias("m"))
+    hits = words.join(bounded_broadcast(name_words), "token").withColumn("top", F.max("sim").over(closest)).filter("sim = top").groupBy("language", "k", "name_id", "iso_code", "norm", "i").agg(F.max(F.struct(F.col("sim") * F.col("idf") ** 2, "token", "idf")).alias("m"))
     hits = hits.select("language", "k", "name_id", "iso_code", "norm", "i", F.col("m.col1").alias("p"), "m.token", "m.idf")
     once = hits.groupBy("language", "k", "name_id", "iso_code", "norm", "token").agg(F.max("p").alias("p"), F.max("idf").alias("idf"), F.count("*").alias("used"))
     own = F.sqrt(F.sum(F.col("used") * F.col("idf") ** 2) + (F.col("k") - F.sum("used")) * rare**2)
@@ -129,7 +154,7 @@ def by_name(values: DataFrame, languages: DataFrame) -> DataFrame:
     by_word = by_word.select("language", "iso_code", (F.col("p") / (F.col("norm") * F.col("own"))).alias("score"))
     # the same for the value as a whole
     whole = v.filter(F.array_min(F.transform("words", F.length)) > 1).select("language", F.col("whole").alias("t")).join(repaired.filter("not part").drop("part"), "t")
-    by_whole = whole.join(wholes, "token").select("language", "iso_code", F.col("sim").alias("score"))
+    by_whole = whole.join(bounded_broadcast(wholes), "token").select("language", "iso_code", F.col("sim").alias("score"))
     best = by_word.unionByName(by_whole).groupBy("language", "iso_code").agg(F.max("score").alias("score")).filter(F.col("score") >= MIN_SCORE)
     r = Window.partitionBy("language").orderBy(F.desc("score"))
     best = best.withColumn("second", F.lead("score").over(r)).withColumn("rank", F.row_number().over(r)).filter("rank = 1 and (second is null or second < score - 0.02)")
@@ -143,7 +168,7 @@ def resolve(entries: DataFrame, languages: DataFrame) -> DataFrame:
     """
     entries = entries.drop("iso_code", "score", "exact", "_l", "_k")  # columns of these names give way to the result's
     languages = languages.select("iso_code", "name", "alt_names")
-    pairs = written(entries.select("language", "language_code").distinct())
+    pairs = written(entries.groupBy("language", "language_code").agg(F.count("*").alias("_n")))
     lang, code = F.col("language"), F.col("language_code")
     # a whole value that is a code, in or out of brackets
     code_map = F.broadcast(codes(languages))
@@ -154,8 +179,13 @@ def resolve(entries: DataFrame, languages: DataFrame) -> DataFrame:
     iso = F.when(blank(lang), F.col("_by_code")).otherwise(F.coalesce("_by_code", "iso_code"))
     x = x.withColumn("iso_code", F.coalesce(iso, F.lit(UNMATCHED))).withColumn("score", F.when(F.col("_by_code").isNotNull(), 1.0).otherwise(F.col("score")))
     exact = F.broadcast(languages.select(F.col("name").alias("language"), F.col("iso_code").alias("language_code"), F.lit(True).alias("exact")))
-    x = x.select("language", "language_code", "iso_code", "score").join(exact, ["language", "language_code"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
-    x = x.withColumnsRenamed({"language": "_l", "language_code": "_k"})
-    return entries.join(x, lang.eqNullSafe(F.col("_l")) & code.eqNullSafe(F.col("_k")), "left").drop("_l", "_k")
+    x = x.select("language", "language_code", "iso_code", "score", "_n").join(exact, ["language", "language_code"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    x = written(x.withColumnsRenamed({"language": "_l", "language_code": "_k"}))
+    # pairs of more than one row in HOT, at most so many, are met where the rows are; the others by a shuffle
+    total = pairs.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(x.filter(F.col("_n") * HOT > total).drop("_n"))
+    on = lang.eqNullSafe(F.col("_l")) & code.eqNullSafe(F.col("_k"))
+    rest = entries.join(hot.select("_l", "_k"), on, "left_anti").join(x.filter(F.col("_n") * HOT <= total).drop("_n"), on)
+    return entries.join(hot, on).unionByName(rest).drop("_l", "_k")
 
 
