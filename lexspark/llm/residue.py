@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import IntegerType
 
 from lexspark.llm.lexemes import identity
 from lexspark.session import bounded_broadcast, written
@@ -160,42 +160,52 @@ def _prefilter(patterns: list[str]) -> tuple[list[str], list[str]]:
     return sorted(n for n in strings if not any(m != n and m in n for m in strings)), [p for p, n in got.items() if not n]
 
 
-#: A text without any of these holds no residue; the strings are what the automaton looks for.
-STRINGS, REST = _prefilter([*PLACEHOLDERS, *RESPONSES, FURNITURE, WEAK])
+#: What the kinds of detectors look for, each a bit of the prefilter's result.
+KINDS = {"placeholder": PLACEHOLDERS, "response": RESPONSES, "furniture": (FURNITURE,), "weak": (WEAK,)}
+BITS = {k: 1 << i for i, k in enumerate([*KINDS, "filler"])}
+PREFILTERS = {k: _prefilter([*ps]) for k, ps in KINDS.items()}
+STRINGS, REST = (sorted(set().union(*[p[i] for p in PREFILTERS.values()])) for i in (0, 1))
 #: Equal words in a row that a repeated token has at least.
 ROW = 4
 
 
 class Prefilter:
-    """Whether a detector may match a text: one automaton of all strings, then the rest on texts without one."""
+    """The kinds of detectors that may match a text, as bits: one automaton of all strings, and the few patterns without one."""
 
     def __init__(self) -> None:
+        self.every = sum(BITS.values())
         self.automaton = ahocorasick.Automaton()
         for n in STRINGS:
-            self.automaton.add_word(n, n)
+            self.automaton.add_word(n, sum(BITS[k] for k, (strings, _) in PREFILTERS.items() if n in strings))
         self.automaton.make_automaton()
         # the content of a text has line ends that the text hasn't: beginnings of lines are anywhere here
-        rest = [p.replace(r"(?:^|\n)", "") for p in REST]
-        self.rest = re.compile("|".join([*(f"(?:{p})" for p in rest), DUMMY]), re.MULTILINE | re.IGNORECASE)
-
-    def __call__(self, text: str) -> bool:
-        low = text.lower()
-        if next(self.automaton.iter(low), None) is not None or self.rest.search(low):
-            return True
-        words = low.split()
-        return any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[ROW - 1 :]))
+        relaxed = {k: [p.replace(r"(?:^|\n)", "") for p in rest] for k, (_, rest) in PREFILTERS.items()}
+        self.rest = [(BITS[k], re.compile("|".join(f"(?:{p})" for p in ps), re.MULTILINE | re.IGNORECASE)) for k, ps in {**relaxed, "filler": [DUMMY]}.items() if ps]
+
+    def __call__(self, text: str) -> int:
+        low, out = text.lower(), 0
+        for _, bits in self.automaton.iter(low):
+            out |= bits
+        for bit, pattern in self.rest:
+            if not out & bit and pattern.search(low):
+                out |= bit
+        if not out & BITS["filler"]:
+            words = low.split()
+            if any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[ROW - 1 :])):
+                out |= BITS["filler"]
+        return out
 
 
-@pandas_udf(BooleanType())
-def _may(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@pandas_udf(IntegerType())
+def _kinds(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     test = Prefilter()
     for s in it:
-        yield s.map(lambda t: bool(t) and test(t)).astype(bool)
+        yield s.map(lambda t: test(t) if t else 0).astype("int32")
 
 
-def triggered(c: Column) -> Column:
-    """Whether a detector may match; true wherever one does."""
-    return _may(c)
+def _may(kind: str) -> Column:
+    """Whether a detector of the kind may match; true wherever one does."""
+    return F.col("_may").bitwiseAND(BITS[kind]) != 0
 
 
 def content(text: Column) -> Column:
@@ -225,29 +235,32 @@ def evidence(docs: DataFrame) -> DataFrame:
     Repeated rows are judged alike; a null source counts as one host. Shapes are reduced to one row a host before
     their hosts are counted (partial sums first), so a page copied any number of times stays one row of that count.
     """
-    kept = [c for c in docs.columns if c not in ("text", "_c", "_may", "answer", "shape", "host", "kind", *SIGNS)]
-    x = docs.select(*kept, "text").withColumn("_may", triggered(F.col("text")))
-    x = x.withColumn("_c", F.when(F.col("_may"), content(F.col("text"))).otherwise(""))
-    single = "|".join(f"(?:{p})" for p in RESPONSES)
-    x = x.withColumn("placeholder", F.col("_c").rlike("(?m)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS)))
-    x = x.withColumn("filler", _lorem(F.col("_c")) | F.col("_c").rlike(REPEATED))
-    # the sentences of an answer, if there are any: lines of furniture count together
+    kept = [c for c in docs.columns if c not in ("text", "_c", "_may", "_parts", "answered", "mismatched", "shape", "host", "low", *SIGNS)]
+    x = docs.select(*kept, "text").withColumn("_may", _kinds("text"))
+    # the texts are read once; each step is written out, so that what the next one uses several times is computed once
+    x = written(x.select(*kept, "_may", F.when(F.col("_may") != 0, content(F.col("text"))).alias("_c")))
+    spared = x.filter("_may = 0").select(*kept, *[F.lit(False).alias(c) for c in ("placeholder", "filler", "answered", "mismatched", "low")], F.lit(None).cast("string").alias("shape"))
+    x = x.filter("_may <> 0")
+    single, c = "|".join(f"(?:{p})" for p in RESPONSES), F.col("_c")
     lines = F.split("_c", "\n")
-    furniture = F.size(F.filter(lines, lambda s: s.rlike(FURNITURE))) >= FURNITURE_LINES
-    speaks = lambda s: s.rlike(single) | (furniture & s.rlike(FURNITURE))
-    said = F.when(F.col("_c").rlike(single) | F.when(F.col("_c").rlike(FURNITURE), furniture).otherwise(False), F.array_join(F.filter(lines, speaks), "\n"))
-    x = x.withColumn("answer", F.nullif(said, F.lit("")))
-    # mismatched: what is answered shares no terms with the title and the body around it
-    around = F.array_join(F.filter(lines, lambda s: ~speaks(s)), " ")
-    x = x.withColumn("mismatched", F.when(F.col("answer").isNotNull(), F.size(F.array_intersect(_terms(F.col("answer")), _terms(around))) < SHARED))
+    # the sentences of an answer, if there are any: lines of furniture count together
+    furniture = F.when(_may("furniture"), F.size(F.filter(lines, lambda s: s.rlike(FURNITURE))) >= FURNITURE_LINES).otherwise(False)
+    parts = F.transform(lines, lambda s: F.struct(s.alias("s"), (s.rlike(single) | (F.col("_furniture") & s.rlike(FURNITURE))).alias("speaks")))
+    x = x.withColumn("placeholder", F.when(_may("placeholder"), c.rlike("(?m)" + "|".join(f"(?:{p})" for p in PLACEHOLDERS))).otherwise(False))
+    x = x.withColumn("filler", F.when(_may("filler"), _lorem(c) | c.rlike(REPEATED)).otherwise(False))
+    x = x.withColumn("_furniture", furniture)
+    x = x.withColumn("_parts", F.when(F.when(_may("response"), c.rlike(single)).otherwise(False) | F.col("_furniture"), parts))
     title, body = F.element_at(lines, 1), F.regexp_replace("_c", r"^[^\n]*(?:\n|$)", "")
-    # low information: weak words only, and the body takes up no term of its title, where there is one
-    low = F.col("_c").rlike(WEAK) & (F.size(F.array_intersect(_terms(title), _terms(body))) == 0)
-    answer = F.coalesce("answer", F.when(low, F.col("_c")))
-    x = x.withColumn("shape", F.when(answer.isNotNull(), identity(F.regexp_replace(F.lower(answer), r"[^\p{L}]+", " "))))
-    x = x.withColumn("low", low & F.col("answer").isNull())
-    # the texts are read once
-    x = written(x.select(*kept, "placeholder", "filler", F.col("answer").isNotNull().alias("answered"), F.coalesce("mismatched", F.lit(False)).alias("mismatched"), "low", "shape"))
+    # low information: weak words, and the body takes up no term of its title, where there is one
+    low = F.when(_may("weak"), c.rlike(WEAK) & (F.size(F.array_intersect(_terms(title), _terms(body))) == 0)).otherwise(False)
+    x = written(x.select(*kept, "placeholder", "filler", low.alias("low"), "_parts", F.when(low, c).alias("_c")))
+    # mismatched: what is answered shares no terms with the title and the body around it
+    text = lambda speaks: F.array_join(F.transform(F.filter("_parts", lambda p: p["speaks"] == speaks), lambda p: p["s"]), "\n")
+    x = x.withColumn("answer", F.nullif(text(True), F.lit(""))).withColumn("answered", F.col("answer").isNotNull())
+    x = x.withColumn("mismatched", F.when(F.col("answered"), F.size(F.array_intersect(_terms(F.col("answer")), _terms(text(False)))) < SHARED).otherwise(False))
+    said = F.regexp_replace(F.lower(F.coalesce("answer", F.when(F.col("low"), F.col("_c")))), r"[^\p{L}]+", " ")
+    x = x.withColumn("shape", F.when(said.isNotNull(), identity(said))).withColumn("low", F.col("low") & ~F.col("answered"))
+    x = written(x.select(*kept, "placeholder", "filler", "answered", "mismatched", "low", "shape").unionByName(spared))
     told = x.filter("shape is not null").withColumn("host", F.coalesce("source", F.lit("")))
     hosts = told.groupBy("shape", "host").agg(F.count("*").alias("n")).groupBy("shape").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= COPIES).select("shape", F.lit(True).alias("recurs"))
     lead = x.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.count("shape").alias("k"))
