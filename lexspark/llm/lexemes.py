@@ -116,7 +116,7 @@ def synonyms(words: DataFrame, support: int = 3, share: float = 0.1) -> DataFram
     counts from `support` places on and from `share` of the rarer word's places.
     """
     place = ["k", "size", "h1", "h2"]
-    d = words.select("k", "w").distinct().filter("size(w) > 1")
+    d = written(words.select("k", "w").distinct().filter("size(w) > 1"))
     x = d.select("k", F.size("w").alias("size"), _set_hash(F.col("w"), "1").alias("h1"), _set_hash(F.col("w"), "2").alias("h2"), F.explode("w").alias("word"))
     x = x.select("k", "size", "word", *[F.col(h).bitwiseXOR(F.xxhash64(F.lit(h[1]), "word")).alias(h) for h in ("h1", "h2")])
     # keys and stems are distinct: a count of rows is a count of words in the open place
@@ -143,8 +143,23 @@ def learned(words: DataFrame) -> DataFrame:
     return same
 
 
-def rewritten(x: DataFrame, same: DataFrame) -> DataFrame:
-    """x with cw, the words w with synonyms replaced, sorted; null for null.
+#: A table of synonyms of at most so many rows becomes part of the plan; a longer one is joined.
+MAP_WORDS = 256
+
+
+def rewritten(x: DataFrame, same: DataFrame, most: int = MAP_WORDS) -> DataFrame:
+    """x with cw, the words w with synonyms replaced, sorted; null for null. same: a written table."""
+    rows = same.limit(most + 1).collect()  # bounded by most
+    if not rows:
+        return x.withColumn("cw", F.col("w"))
+    if len(rows) <= most:
+        by = F.create_map(*[F.lit(v) for r in rows for v in (r["word"], r["same"])])
+        return x.withColumn("cw", F.array_sort(F.transform("w", lambda t: F.coalesce(F.try_element_at(by, t), t))))
+    return joined_words(x, same)
+
+
+def joined_words(x: DataFrame, same: DataFrame) -> DataFrame:
+    """The same for a table of any size.
 
     Word lists are reduced to distinct ones and only changed ones are joined back, so that a list repeated in any
     number of rows is rewritten once; rows without words stay out of the join.

@@ -66,12 +66,18 @@ def _senses(x: DataFrame, same: DataFrame, usual: int) -> DataFrame:
     x = X.rewritten(x, same).drop("w")
     whole = ~F.col("cut") & (F.size("cw") >= usual)
     x = x.withColumn("sense", F.when(whole, F.concat_ws(" ", "cw")))
-    return x.withColumn("c_id", X.identity("iso", "sk", "pos", F.concat_ws(" ", "cw"), F.col("cw").isNull(), whole)).drop("cut")
+    given = ["iso", "sk", "pos", F.concat_ws(" ", "cw"), F.col("cw").isNull(), whole]
+    return x.withColumn("c_id", F.xxhash64(*given)).withColumn("c_no", F.xxhash64(F.lit("second"), *given)).drop("cut")
+
+
+#: A class's key: two hashes of what it has in common, 128 bits together.
+CLASS = ["c_id", "c_no"]
+R_CLASS = ["r_c_id", "r_c_no"]
 
 
 def _classes(x: DataFrame) -> DataFrame:
     same = [F.first(c).alias(c) for c in ("iso", "sk", "pos", "sense", "cw")]
-    return x.groupBy("c_id").agg(*same, F.max("sound").alias("sound")).withColumn("loose", X.loose(F.col("sk")))
+    return x.groupBy(*CLASS).agg(*same, F.max("sound").alias("sound")).withColumn("loose", X.loose(F.col("sk")))
 
 
 def _edits(a: str, b: str) -> Column:
@@ -137,15 +143,16 @@ def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFram
     right = known & (1 - F.levenshtein("sound", "r_sound") / F.greatest(F.length("sound"), F.length("r_sound")) >= SAME_SOUND)
     found = None
     for join in _passes(rc):
-        x = join(open_).filter("rule is not null").select("c_id", "r_c_id", "rule", F.col("r_bare").alias("bare"), known.alias("known"), right.alias("right"))
-        hit = written(x.groupBy("c_id", "r_c_id").agg(F.min("rule").alias("rule"), F.min("bare").alias("bare"), F.max("known").alias("known"), F.max("right").alias("right")))
+        x = join(open_).filter("rule is not null").select(*CLASS, *R_CLASS, "rule", F.col("r_bare").alias("bare"), known.alias("known"), right.alias("right"))
+        hit = written(x.groupBy(*CLASS, *R_CLASS).agg(F.min("rule").alias("rule"), F.min("bare").alias("bare"), F.max("known").alias("known"), F.max("right").alias("right")))
         found = hit if found is None else found.unionByName(hit)
-        open_ = open_.join(hit.select("c_id").distinct(), "c_id", "left_anti")
+        open_ = open_.join(hit.select(*CLASS).distinct(), CLASS, "left_anti")
     # within a pass as well only the first rule of an entry class counts
-    first = found.groupBy("c_id").agg(F.min("rule").alias("rule"))
-    found = found.join(first, ["c_id", "rule"]).withColumn("name", F.when(F.col("bare"), BARE).otherwise(F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)))
+    first = found.groupBy(*CLASS).agg(F.min("rule").alias("rule"))
+    found = found.join(first, [*CLASS, "rule"]).withColumn("name", F.when(F.col("bare"), BARE).otherwise(F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)))
     found = written(found)
     trust = found.groupBy("name").agg(((F.count_if("right") + PRIOR_RIGHT) / (F.count_if("known") + PRIOR_RIGHT + PRIOR_WRONG)).alias("confidence"))
     found = found.join(F.broadcast(trust), "name")  # one row a rule
-    pairs = found.select("c_id", "r_c_id", "name", "confidence").join(e.select("c_id", "entry_id").distinct(), "c_id").join(r.select(F.col("c_id").alias("r_c_id"), "lsr_id"), "r_c_id")
+    pairs = found.select(*CLASS, *R_CLASS, "name", "confidence").join(e.select(*CLASS, "entry_id").distinct(), CLASS)
+    pairs = pairs.join(r.select(*[F.col(c).alias(f"r_{c}") for c in CLASS], "lsr_id"), R_CLASS)
     return pairs.groupBy("entry_id", "lsr_id").agg(F.max(F.struct("confidence", "name")).alias("x")).select("entry_id", "lsr_id", F.col("x.name").alias("rule"), "x.confidence")
