@@ -41,6 +41,29 @@ def test_names(spark, languages):
     assert [i for i in by if by[i]["exact"]] == [0]
 
 
+def test_near_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 9)))
+    ref = sorted({word() for _ in range(60)})
+    tokens = sorted({word() for _ in range(150)} | {"".join([r[1:2], r[:1], r[2:]]) for r in ref})
+    a = spark.createDataFrame([(t, True) for t in tokens], "t string, part boolean")
+    b = spark.createDataFrame([(r, True, 1.0) for r in ref], "token string, part boolean, idf double")
+    got = {(r["t"], r["token"]): round(r["sim"], 9) for r in canonical.near(a, b).collect()}
+
+    def sim(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        d = 1 if row[-1] == 2 and sorted(x) == sorted(y) else row[-1]
+        return 1 - d / max(len(x), len(y))
+
+    assert got == {(t, r): round(v, 9) for t in tokens for r in ref if (v := sim(t, r)) >= canonical.MIN_TOKEN}
+
+
 def test_names_empty(spark, languages):
     empty = spark.createDataFrame([], ENTRY)
     assert canonical.resolve(empty, languages).count() == 0
@@ -86,6 +109,40 @@ def test_skyline_equals_brute_force(spark):
     assert got == {b[1] for b in rows if not any(beats(a, b) for a in rows)}
 
 
+def test_layers_decide(spark):
+    """Without the layers the second record's period would be lost, and a full but dominated one would win nothing."""
+    c = "a heavy chisel used for bartering berries"
+    rows = [
+        record("a", "brau", c, confidence_overall=0.9, human_validated=True, part_of_speech=None, period_label=None, updated_at=dt.datetime(2024, 5, 1)),
+        record("b", "brau", c, confidence_overall=0.5, period_label="late", part_of_speech=None, updated_at=dt.datetime(2024, 4, 1)),
+        record("c", "brau", c, confidence_overall=0.4, period_label="early", updated_at=dt.datetime(2024, 3, 1)),
+        record("d", "brau", c, confidence_overall=0.3, period_label="never", part_of_speech=["verb"], updated_at=dt.datetime(2024, 2, 1)),
+    ]
+    m = survivors.merged(spark.createDataFrame(rows, META)).collect()
+    assert [(r["survivor"], r["period_label"], r["part_of_speech"]) for r in m] == [("a", "late", ["noun"])]
+    # the first record alone, which the policy without layers would keep, has neither
+    g = survivors.groups(spark.createDataFrame(rows, META)).select("g", "id", *survivors._ranks())
+    layers = survivors.layered(g.join(spark.createDataFrame(rows, META).select("id", *survivors.FILLED), "id")).collect()
+    assert {r["layer"]: r["id"] for r in layers}[1] == "a"
+    # the same without later layers: fields stay empty
+    first = next(r for r in layers if r["layer"] == 1)
+    assert first["form_orthographic"] == "brau"
+
+
+def test_synonyms_of_any_number(spark):
+    """Long definitions, places with several words and synonyms found beside others; both ways of rewriting agree."""
+    forms = [f"f{i}" for i in range(6)]
+    base = [f"w{i}" for i in range(12)]
+    rows = [(k, sorted([*base, w])) for k in forms for w in ("jug", "pot", "urn")] + [(f"x{i}", sorted(["red", "jug"])) for i in range(9)]
+    words = spark.createDataFrame(rows, "k string, w array<string>")
+    same = lexemes.learned(words)
+    assert {r["word"]: r["same"] for r in same.collect()} == {"pot": "jug", "urn": "jug"}
+    x = spark.createDataFrame([("a", ["pot", "red"]), ("b", []), ("c", None), ("a", ["pot", "red"])], "id string, w array<string>")
+    one, two = (sorted((r["id"], str(r["cw"])) for r in y.collect()) for y in (lexemes.rewritten(x, same), lexemes.rewritten(x, same, 1)))
+    assert one == two and ("a", "['jug', 'red']") in one and len(one) == 4
+    assert lexemes.learned(words.limit(0)).count() == 0
+
+
 def test_matches(spark, languages):
     meta = [record("a", "bráuker", "a heavy chisel used for bartering berries"), record("b", "brauker", "any hollow ladle; one made for washing eggs"), record("c", "stoumel", None), record("d", "trewaukroen", "to smoke horses with a dented lantern", part_of_speech=["verb"])]
     entries = [

@@ -237,7 +237,7 @@ def test_needles_multiplied_out():
     assert residue.needles(r"\bwhile (?:reading|loading) (?:page|\w+)", 64) == {"while reading ", "while loading "}
     assert residue.needles(residue.FURNITURE, 64) or residue.FURNITURE in residue.REST
     may = residue.Prefilter()
-    assert all(may(t) for t in RESIDUE + NAMED + WEAKLY) and not may("Plain words of an old register.")
+    assert all(may(t) for t in RESIDUE + NAMED + WEAKLY) and may("Plain words of an old register.") == 0
 
 
 def test_responses_that_a_text_takes_up(spark):
