@@ -1,6 +1,6 @@
 """Text dating, diagnostic words and anachronisms.
 
-Tokens are ASCII words, per occurrence. The lexicon has one row per (form, language) with its first and last year.
+Tokens are ASCII words, per occurrence. The word periods have one row per (form, language) with its first and last year.
 Texts that are null or have no content words date to (0, 0) with confidence 0. Null languages match nothing.
 """
 
@@ -19,7 +19,7 @@ TOP = 20
 FALLBACK = 50
 
 
-def lexicon(quotations: DataFrame, language: str) -> DataFrame:
+def word_periods(quotations: DataFrame, language: str) -> DataFrame:
     """(form, lang, date_start, date_end) of the words of dated quotations (text, year)."""
     x = quotations.filter("year is not null and text is not null").select("year", F.explode(F.array_distinct(ascii_words(F.col("text")))).alias("form"))
     return x.groupBy("form").agg(F.min("year").alias("date_start"), F.max("year").alias("date_end")).withColumn("lang", F.lit(language))

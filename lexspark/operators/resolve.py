@@ -8,7 +8,7 @@ verified once and joined back to rows, so repeated forms weigh nothing. Blank fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import date_proximity, edit_similarity, jaccard, word_set
@@ -35,11 +35,16 @@ def form_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.withColumn("distance", F.levenshtein("fa", "fb", K)).filter("distance >= 0")
 
 
+def _candidate_rows(entries: DataFrame, store: DataFrame, left: list[Column], right: list[Column]) -> DataFrame:
+    """Rows of both sides with a common pair of forms, each with the given columns; forms are joined to rows once a side."""
+    p = form_pairs(entries, store)
+    x = entries.select(F.col("id").alias("entry_id"), "lang", F.col("form").alias("fa"), *left).join(p, ["lang", "fa"])
+    return x.join(store.select(F.col("id").alias("lsr_id"), "lang", F.col("form").alias("fb"), *right), ["lang", "fb"])
+
+
 def candidates(entries: DataFrame, store: DataFrame) -> DataFrame:
     """(entry_id, lsr_id, distance) of entries and store (id, lang, form)."""
-    p = form_pairs(entries, store)
-    x = entries.select(F.col("id").alias("entry_id"), "lang", F.col("form").alias("fa")).join(p, ["lang", "fa"])
-    return x.join(store.select(F.col("id").alias("lsr_id"), "lang", F.col("form").alias("fb")), ["lang", "fb"]).select("entry_id", "lsr_id", "distance")
+    return _candidate_rows(entries, store, [], []).select("entry_id", "lsr_id", "distance")
 
 
 def features(entries: DataFrame, store: DataFrame) -> DataFrame:
@@ -47,10 +52,9 @@ def features(entries: DataFrame, store: DataFrame) -> DataFrame:
 
     entries (id, lang, form, definition, year, source), store (id, lang, form, definition, date_start, date_end, sources).
     """
-    x = candidates(entries, store)
-    e = entries.select(F.col("id").alias("entry_id"), F.col("form").alias("ef"), F.col("definition").alias("ed"), "year", "source")
-    r = store.select(F.col("id").alias("lsr_id"), F.col("form").alias("rf"), F.col("definition").alias("rd"), "date_start", "date_end", "sources")
-    x = x.join(e, "entry_id").join(r, "lsr_id")
+    left = [F.col("form").alias("ef"), F.col("definition").alias("ed"), F.col("year"), F.col("source")]
+    right = [F.col("form").alias("rf"), F.col("definition").alias("rd"), F.col("date_start"), F.col("date_end"), F.col("sources")]
+    x = _candidate_rows(entries, store, left, right)
     missing = F.col("ed").isNull() | F.col("rd").isNull() | (F.col("ed") == "") | (F.col("rd") == "")
     f = {
         "exact": (F.col("ef") == F.col("rf")).cast("double"), "fuzzy": edit_similarity(F.col("ef"), F.col("rf")),

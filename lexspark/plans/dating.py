@@ -1,4 +1,4 @@
-"""Queries of text dating over documents, with a lexicon from dated quotations."""
+"""Queries of text dating over documents, with periods of words from dated quotations."""
 
 from __future__ import annotations
 
@@ -14,9 +14,9 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "lang", "year", "text")
 
 
-def _lexicon(s: SparkSession, d: str) -> DataFrame:
+def _periods(s: SparkSession, d: str) -> DataFrame:
     q = dedup_deliveries(table(s, d, "attestations", "id", "text_excerpt", "text_date"), "id")
-    return D.lexicon(q.select(F.col("text_excerpt").alias("text"), F.col("text_date").alias("year")), "en")
+    return D.word_periods(q.select(F.col("text_excerpt").alias("text"), F.col("text_date").alias("year")), "en")
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -30,14 +30,14 @@ hit as (select t.*, l.date_start, l.date_end from tok t left join lex l using (f
 """.replace("STOP", _STOP)
 
 QUERIES = {
-    "lexicon_build": lambda s, d: _lexicon(s, d),
-    "text_dating": lambda s, d: D.date_texts(_docs(s, d), _lexicon(s, d)),
-    "dating_diagnostics": lambda s, d: D.diagnostics(_docs(s, d), _lexicon(s, d)),
-    "anachronism_words": lambda s, d: D.anachronism_words(_docs(s, d), _lexicon(s, d)),
-    "anachronism_verdicts": lambda s, d: D.verdicts(_docs(s, d), _lexicon(s, d)),
+    "word_periods": lambda s, d: _periods(s, d),
+    "text_dating": lambda s, d: D.date_texts(_docs(s, d), _periods(s, d)),
+    "dating_diagnostics": lambda s, d: D.diagnostics(_docs(s, d), _periods(s, d)),
+    "anachronism_words": lambda s, d: D.anachronism_words(_docs(s, d), _periods(s, d)),
+    "anachronism_verdicts": lambda s, d: D.verdicts(_docs(s, d), _periods(s, d)),
 }
 SQL = {
-    "lexicon_build": f"with {SQL_TOKENS} select form, lang, date_start, date_end from lex",
+    "word_periods": f"with {SQL_TOKENS} select form, lang, date_start, date_end from lex",
     "text_dating": f"""with {SQL_TOKENS},
 g as (select doc_id, count(*) as content, count(date_start) as matched, max(date_start) as s0, min(date_end) as e0, median(date_start) as ms, median(date_end) as me from hit group by doc_id),
 g1 as (select *, case when s0 > e0 then cast(trunc(ms) as int) else s0 end as s1, case when s0 > e0 then cast(trunc(me) as int) else e0 end as e1 from g),

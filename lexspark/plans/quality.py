@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lexspark.operators import corpus as C
 from lexspark.operators import quality as Q
 from lexspark.plans.dating import _STOP
-from lexspark.plans.resolve import _FORM, _byte_form
+from lexspark.functions.text import normal_form
+from lexspark.plans.resolve import BYTES, FORM, letters
 from lexspark.sources.tables import table
 
 _M = lambda s, d: table(s, d, "lsr_metadata")
@@ -35,7 +36,7 @@ QUERIES = {
     "time_slices": lambda s, d: C.slices(_M(s, d)),
     "collocations": lambda s, d: C.collocations(_D(s, d)),
     "cognate_matrix": lambda s, d: C.cognate_matrix(_M(s, d), CONCEPTS),
-    "language_distance": lambda s, d: C.language_distance(_M(s, d).withColumn("form_normalized", _byte_form(F.col("form_normalized")))),
+    "language_distance": lambda s, d: C.language_distance(_M(s, d).withColumn("form_normalized", normal_form(F.trim("form_normalized")))),
     "stratified_split": lambda s, d: C.split(_M(s, d)),
 }
 _TOK = rf"dw as (select doc_id, lang, year, list_filter(list_transform(list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')), lambda x: lower(x)), lambda x: length(x) > 2 and x not in ({_STOP})) as w from documents where text is not null)"
@@ -62,7 +63,8 @@ SQL = {
 p as (select least(x.t, y.t) as a, greatest(x.t, y.t) as b, count(*) as n from t x join t y on x.doc_id = y.doc_id and y.i - x.i in (1, 2) where x.t <> y.t group by all having count(*) >= 5)
 select a, b, n, round(log2(n * (select sum(c)::double from c) / (ca.c * cb.c)), 6) as pmi from p join c ca on ca.t = a join c cb on cb.t = b""",
     "cognate_matrix": "select language_code, " + ", ".join(f"max(case when regexp_extract(lower(definition_primary), '([a-z]+)', 1) = '{c}' then 1 else 0 end) as \"{c}\"" for c in CONCEPTS) + " from lsr_metadata group by 1",
-    "language_distance": f"""with x as (select language_code, definition_primary, min({_FORM('form_normalized')}) as f from lsr_metadata where definition_primary is not null group by all)
-select a.language_code as a, b.language_code as b, count(*) as n, round(1 - avg(1 - levenshtein(a.f, b.f) / greatest(length(a.f), length(b.f), 1)::double), 6) as distance from x a join x b on a.definition_primary = b.definition_primary and a.language_code < b.language_code group by all""",
+    "language_distance": f"""with x0 as (select language_code, definition_primary as lang, min({FORM('form_normalized')}) as form from lsr_metadata where definition_primary is not null group by all), {letters('x0')},
+x as (select language_code, lang, {BYTES} as f from x0 left join mp using (lang))
+select a.language_code as a, b.language_code as b, count(*) as n, round(1 - avg(1 - levenshtein(a.f, b.f) / greatest(length(a.f), length(b.f), 1)::double), 6) as distance from x a join x b on a.lang = b.lang and a.language_code < b.language_code group by all""",
     "stratified_split": "select id, language_code, case when h < 8 then 'train' when h = 8 then 'validation' else 'test' end as part from (select id, language_code, cast('0x' || substr(md5(id), 1, 4) as int) % 10 as h from lsr_metadata)",
 }

@@ -75,8 +75,8 @@ QUERIES = {
     "definition_jaccard": definition_jaccard,
     "date_proximity": date_proximity,
     "lsr_confidence": lsr_confidence,
-    "lexicon_search": lambda s, d: R.page(R.search(_M(s, d), form="ra", language="vrd", date_start=1500, date_end=1900), 20).select("id", "form_orthographic", "confidence_overall"),
-    "lexicon_overlap_search": lambda s, d: R.search(_M(s, d), date_start=900, date_end=1200, mode="overlap").select("id", "date_start", "date_end"),
+    "record_search": lambda s, d: R.page(R.search(_M(s, d), form="ra", language="vrd", date_start=1500, date_end=1900), 20).select("id", "form_orthographic", "confidence_overall"),
+    "record_overlap_search": lambda s, d: R.search(_M(s, d), date_start=900, date_end=1200, mode="overlap").select("id", "date_start", "date_end"),
     "search_counts": lambda s, d: R.search(_M(s, d), date_start=1500).groupBy("language_code").agg(F.count("*").alias("n")),
     "graph_node_sink": lambda s, d: R.graph_node(_M(s, d)),
     "search_document_sink": lambda s, d: R.search_document(_M(s, d)).select("id", *[F.get_json_object("document", f"$.{f}").alias(f) for f in ("form_orthographic", "language_code", "date_start", "definition_primary")]),
@@ -114,9 +114,9 @@ select entry_id, round(case when len(list_distinct(list_concat(a, b))) = 0 then
 x as (select m.*, coalesce(n, 0) as n, first, last, case when n > 0 then least(1.0, 0.1 * n + 0.5) else 0.3 end as att from lsr_metadata m left join f on m.id = f.k)
 select id, least(date_start, first) as date_start, greatest(date_end, last) as date_end, n as attestations,
  round((coalesce(date_confidence, 0) + att + case when reconstruction_flag then 0.6 else 0 end + case when human_validated then 1.0 else 0 end) / (case when date_confidence is null then 0 else 1 end + 1 + case when reconstruction_flag then 1 else 0 end + case when human_validated then 1 else 0 end), 6) as confidence from x""",
-    "lexicon_search": """select id, form_orthographic, confidence_overall from lsr_metadata where (contains(form_normalized, 'ra') or contains(form_orthographic, 'ra')) and language_code = 'vrd' and (date_start is null or date_start >= 1500) and (date_end is null or date_end <= 1900)
+    "record_search": """select id, form_orthographic, confidence_overall from lsr_metadata where (contains(form_normalized, 'ra') or contains(form_orthographic, 'ra')) and language_code = 'vrd' and (date_start is null or date_start >= 1500) and (date_end is null or date_end <= 1900)
  order by confidence_overall desc nulls first, form_orthographic, id limit 20""",
-    "lexicon_overlap_search": "select id, date_start, date_end from lsr_metadata where date_start is not null and date_end is not null and not (date_end < 900 or date_start > 1200)",
+    "record_overlap_search": "select id, date_start, date_end from lsr_metadata where date_start is not null and date_end is not null and not (date_end < 900 or date_start > 1200)",
     "search_counts": "select language_code, count(*) as n from lsr_metadata where date_start is null or date_start >= 1500 group by 1",
     "graph_node_sink": "select id, form_orthographic as form, form_normalized, language_code, period_label, date_start, date_end, definition_primary as definition, confidence_overall as confidence, reconstruction_flag as reconstruction from lsr_metadata",
     "search_document_sink": "select id, form_orthographic, language_code, date_start::varchar as date_start, definition_primary from lsr_metadata",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspark.functions import phonetics as P
+from lexspark.functions.text import normal_form
 from lexspark.operators import relations as R
 from lexspark.operators.references import clean_uuid
-from lexspark.plans.resolve import _FORM, _byte_form
+from lexspark.plans.resolve import BYTES, FORM, letters
 from lexspark.sources.tables import dedup_deliveries, table
 
 
@@ -24,8 +25,8 @@ def range_join(s, d):
 
 
 def cognate_candidates(s, d):
-    m = table(s, d, "lsr_metadata", "language_code", "definition_primary", "form_normalized").withColumn("form", _byte_form(F.col("form_normalized")))
-    return R.cognate_candidates(m, table(s, d, "languages", F.col("iso_code").alias("language_code"), "family"))
+    m = table(s, d, "lsr_metadata", "language_code", "definition_primary", "form_normalized").withColumn("form", normal_form(F.trim("form_normalized")))
+    return R.cognate_candidates(m, table(s, d, "languages", F.col("iso_code").alias("language_code"), "family"), 0.2)
 
 
 def attestation_contexts(s, d):
@@ -57,9 +58,10 @@ for _a, _b in P.GRIMM:
 SQL = {
     "sound_laws": f"select id, {_GRIMM} as shifted from lsr_metadata",
     "range_join": "with m as (select * from lsr_metadata where date_start is not null and date_end is not null and date_start <= date_end) select a.language_code, count(*) as pairs, count(distinct a.id) as adjectives from m a join m b on a.language_code = b.language_code and a.date_start <= b.date_end and b.date_start <= a.date_end where list_contains(a.part_of_speech, 'adj') and list_contains(b.part_of_speech, 'verb') group by 1",
-    "cognate_candidates": f"""with x as (select language_code, family, definition_primary, min({_FORM('form_normalized')}) as f from lsr_metadata join languages on iso_code = language_code where definition_primary <> '' group by all),
-y as (select a.definition_primary as definition, a.language_code as a, b.language_code as b, round(1 - levenshtein(a.f, b.f) / greatest(length(a.f), length(b.f), 1)::double, 6) as similarity from x a join x b on a.family = b.family and a.definition_primary = b.definition_primary and a.language_code < b.language_code)
-select * from y where similarity >= 0.5""",
+    "cognate_candidates": f"""with x0 as (select language_code, family, definition_primary as lang, min({FORM('form_normalized')}) as form from lsr_metadata join languages on iso_code = language_code where definition_primary <> '' group by all), {letters('x0')},
+x as (select language_code, family, lang, {BYTES} as f from x0 left join mp using (lang)),
+y as (select a.lang as definition, a.language_code as a, b.language_code as b, round(1 - levenshtein(a.f, b.f) / greatest(length(a.f), length(b.f), 1)::double, 6) as similarity from x a join x b on a.family = b.family and a.lang = b.lang and a.language_code < b.language_code)
+select * from y where similarity >= 0.2""",
     "attestation_contexts": r"""with a as (select distinct on (id) id, lower(regexp_replace(lsr_id, '^[\s\x{a0}{(]+|[\s\x{a0})}]+$', '', 'g')) as k, text_excerpt as t from attestations),
 x as (select a.id, t, form_orthographic as f, strpos(t, form_orthographic) as i from a join lsr_metadata m on m.id = k where form_orthographic <> '')
 select id, i as "at", substr(t, greatest(1, i - 20), length(f) + (i - greatest(1, i - 20)) + 20) as context from x where i > 0""",

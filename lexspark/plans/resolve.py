@@ -1,7 +1,7 @@
 """Queries of entity resolution: raw entries against lexical records.
 
-SQL sees edit distance in bytes in the engine that checks it, so forms that SQL compares are transliterated to one byte
-a letter first: both sides of the comparison then count code points.
+The engine that checks the SQL counts edits in bytes. There the letters of each language are numbered and every letter
+becomes the byte of its number, one to one: both sides then count code points. More letters than bytes is an error.
 """
 
 from __future__ import annotations
@@ -12,27 +12,35 @@ from lexspark.functions.text import normal_form
 from lexspark.operators import resolve as R
 from lexspark.sources.tables import table
 
-# Letters of the Greek and Cyrillic words and signs that stand for them, one each.
-LETTERS, SIGNS = "αβγδεζηθικλμνξοπρσςτυφχψωϝабвгдежзийклмнопрстуфхцчшщъыьэюяѡ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&+,/:;<=>@_`{|}~^"
-
-
-def _byte_form(c):
-    return F.regexp_replace(F.translate(normal_form(c), LETTERS, SIGNS), r"[^\x00-\x7f]", "?")
-
 
 def entries(s, d):
-    e = table(s, d, "raw_entries", "entry_id", "form", "language_code", "definitions", "date_attested", "source_name")
-    return e.select(F.col("entry_id").alias("id"), F.lower(F.trim("language_code")).alias("lang"), _byte_form(F.trim("form")).alias("form"), F.try_element_at("definitions", F.lit(1)).alias("definition"), F.col("date_attested").alias("year"), F.lower("source_name").alias("source"))
+    """The language is the code, or else the beginning of the language's name."""
+    e = table(s, d, "raw_entries", "entry_id", "form", "language", "language_code", "definitions", "date_attested", "source_name")
+    lang = F.coalesce(F.nullif(F.lower(F.trim("language_code")), F.lit("")), F.lower(F.left("language", F.lit(3))))
+    return e.select(F.col("entry_id").alias("id"), lang.alias("lang"), normal_form(F.trim("form")).alias("form"), F.try_element_at("definitions", F.lit(1)).alias("definition"), F.col("date_attested").alias("year"), F.lower("source_name").alias("source"))
 
 
 def store(s, d):
     m = table(s, d, "lsr_metadata", "id", "form_orthographic", "language_code", "definition_primary", "date_start", "date_end", "source_databases")
-    return m.select("id", F.col("language_code").alias("lang"), _byte_form(F.trim("form_orthographic")).alias("form"), F.col("definition_primary").alias("definition"), "date_start", "date_end", F.transform("source_databases", F.lower).alias("sources"))
+    return m.select("id", F.col("language_code").alias("lang"), normal_form(F.trim("form_orthographic")).alias("form"), F.col("definition_primary").alias("definition"), "date_start", "date_end", F.transform("source_databases", F.lower).alias("sources"))
+
+
+FORM = lambda c: f"strip_accents(lower(trim({c}, ' ')))"
+
+
+def letters(*tables: str) -> str:
+    """CTEs ch and mp: by lang, the letters src of the tables' column form and the bytes dst that stand for them."""
+    every = " union all ".join(f"select lang, unnest(regexp_extract_all(form, '(?s).')) as c from {t}" for t in tables)
+    return f"""ch as (select lang, c, row_number() over (partition by lang order by c) as i from (select distinct lang, c from ({every}))),
+mp as (select lang, string_agg(c, '' order by c) as src, string_agg(chr(cast(i as int)), '' order by c) as dst, max(i) as n from ch group by lang)"""
 
 
-_FORM = lambda c: r"regexp_replace(translate(strip_accents(lower(trim(" + c + r", ' '))), '" + LETTERS + "', '" + SIGNS + r"'), '[^\x00-\x7f]', '?', 'g')"
-_CTE = f"""e as (select entry_id, lower(trim(language_code)) as lang, {_FORM('form')} as form, definitions[1] as definition, date_attested as year, lower(source_name) as source from raw_entries),
-r as (select id as lsr_id, language_code as lang, {_FORM('form_orthographic')} as form, definition_primary as definition, date_start, date_end, list_transform(source_databases, lambda x: lower(x)) as sources from lsr_metadata),
+BYTES = "case when n > 127 then error('more letters than bytes') when form is null or form = '' then form else translate(form, src, dst) end"
+_CTE = f"""e0 as (select entry_id, coalesce(nullif(lower(trim(language_code, ' ')), ''), lower(left(language, 3))) as lang, {FORM('form')} as form, definitions[1] as definition, date_attested as year, lower(source_name) as source from raw_entries),
+r0 as (select id as lsr_id, language_code as lang, {FORM('form_orthographic')} as form, definition_primary as definition, date_start, date_end, list_transform(source_databases, lambda x: lower(x)) as sources from lsr_metadata),
+{letters('(select * from e0 where lang in (select lang from r0))', 'r0')},
+e as (select entry_id, e0.lang, {BYTES} as form, definition, year, source from e0 left join mp using (lang)),
+r as (select lsr_id, r0.lang, {BYTES} as form, definition, date_start, date_end, sources from r0 left join mp using (lang)),
 c as (select entry_id, lsr_id, e.lang, e.form as ef, r.form as rf, levenshtein(e.form, r.form) as distance, e.definition as ed, r.definition as rd, year, source, date_start, date_end, sources from e join r on e.lang = r.lang and abs(length(e.form) - length(r.form)) <= 2 where e.form <> '' and r.form <> '' and levenshtein(e.form, r.form) <= 2),
 w as (select *, list_distinct(list_filter(string_split_regex(lower(trim(ed)), '\\s+'), lambda x: x <> '')) as wa, list_distinct(list_filter(string_split_regex(lower(trim(rd)), '\\s+'), lambda x: x <> '')) as wb from c),
 f as (select entry_id, lsr_id, distance, cast(ef = rf as int)::double as exact, 1 - distance / greatest(length(ef), length(rf), 1)::double as fuzzy,

@@ -24,8 +24,14 @@ DOMAIN_WORDS = {
     "body": "body head hand foot eye heart".split(),
 }
 
-# The type of contact that a domain speaks for; the other domains speak for none.
-DOMAIN_CONTACT = {"military": "conquest", "religion": "religious", "commerce": "trade", "food": "cultural", "technology": "technological", "kinship": "trade"}
+# Parts of a domain's name that speak for a type of contact, types in order of precedence.
+CONTACT_PARTS = {
+    "trade": "commerce money goods merchant market price trade exchange cargo ship port".split(),
+    "conquest": "military war weapon soldier army battle king ruler law court tax tribute".split(),
+    "religious": "religion god temple priest sacred ritual prayer worship heaven soul sin".split(),
+    "cultural": "art music literature education philosophy science fashion food architecture".split(),
+    "technological": "technology tool machine invention science medicine agriculture craft manufacture".split(),
+}
 
 # Words that point to a type of semantic shift, types in order of precedence.
 SHIFT_WORDS = {
