@@ -23,16 +23,14 @@ def proto_roots(s, d):
 
 
 def etymology_chain(s, d):
-    """Ancestors of the largest part key, nearest first."""
-    e = descent(s, d)
-    start = e.agg(F.max("source_id").alias("id"))
-    return G.walk(e, start, 20).select("id", "depth")
+    """The chain of ancestors of every part whose key is divisible by 20."""
+    return G.chains(descent(s, d), table(s, d, "part", F.col("p_partkey").alias("id")).filter("id % 20 = 0")).select("start", "proto", "depth")
 
 
 def descendants(s, d):
-    e = descent(s, d)
-    start = e.agg(F.min("target_id").alias("id"))
-    return G.walk(G.reversed_(e), start, 3).select("id", "depth")
+    """All parts within three levels below every part whose key is divisible by 20."""
+    starts = table(s, d, "part", F.col("p_partkey").alias("id")).filter("id % 20 = 0")
+    return G.walk(G.reversed_(descent(s, d)), starts, 3)
 
 
 def cognates(s, d):
@@ -42,10 +40,9 @@ def cognates(s, d):
 
 
 def shortest_paths(s, d):
-    """Hops between the first and every other part within six, in both directions."""
-    e = descent(s, d)
-    start = e.agg(F.min("source_id").alias("id"))
-    return G.walk(G.both_ways(e), start, 6).select("id", F.col("depth").alias("hops"))
+    """Hops from every part whose key is divisible by 20 to the others within four, in both directions."""
+    starts = table(s, d, "part", F.col("p_partkey").alias("id")).filter("id % 20 = 0")
+    return G.walk(G.both_ways(descent(s, d)), starts, 4).withColumnRenamed("depth", "hops")
 
 
 def borrowing_neighbours(s, d):
@@ -55,9 +52,9 @@ def borrowing_neighbours(s, d):
 
 
 def graph_cycles(s, d):
-    """Customers' nations and suppliers' nations in orders make a graph with cycles."""
-    e = table(s, d, "nation").select(F.col("n_nationkey").alias("source_id"), ((F.col("n_nationkey") * 7 + 3) % 31).cast("int").alias("target_id"))
-    return G.on_cycles(e, 31)
+    """Every customer points to another one by a formula that ends in a few cycles."""
+    e = table(s, d, "customer", "c_custkey").select(F.col("c_custkey").alias("source_id"), ((F.col("c_custkey") * 7 + 3) % 31).alias("target_id"))
+    return G.on_cycles(e)
 
 
 def temporal_consistency(s, d):
@@ -88,12 +85,12 @@ _E = "e as (select p_partkey as source_id, p_partkey // 3 as target_id from part
 _ROOT = f"{_E}, r as (select distinct target_id as id, target_id as root, 0 as depth from e where target_id not in (select source_id from e) union all select e.source_id, r.root, r.depth + 1 from e join r on e.target_id = r.id)"
 SQL = {
     "proto_roots": f"with recursive {_ROOT} select id, root, depth from r",
-    "etymology_chain": f"with recursive {_E}, c as (select max(source_id) as id, 0 as depth from e union all select e.target_id, depth + 1 from c join e on e.source_id = c.id) select id, depth from c",
-    "descendants": f"with recursive {_E}, c as (select min(target_id) as id, 0 as depth from e union all select e.source_id, depth + 1 from c join e on e.target_id = c.id where depth < 3) select id, depth from c",
+    "etymology_chain": f"with recursive {_ROOT} select id as start, root as proto, depth from r where id % 20 = 0 union all select p_partkey, p_partkey, 0 from part where p_partkey % 20 = 0 and p_partkey not in (select id from r)",
+    "descendants": f"with recursive {_E}, c as (select p_partkey as start, p_partkey as id, 0 as depth from part where p_partkey % 20 = 0 union all select start, e.source_id, depth + 1 from c join e on e.target_id = c.id where depth < 3) select start, id, depth from c",
     "cognates": f"with recursive {_ROOT} select root, cast(p_size % 8 as int) as lang, count(*) as n, min(id) as first from r join part on p_partkey = id where depth > 0 group by all",
-    "shortest_paths": f"with recursive {_E}, b as (select * from e union select target_id, source_id from e), c as (select min(source_id) as id, 0 as hops from e union select b.target_id, hops + 1 from c join b on b.source_id = c.id where hops < 6) select id, min(hops) as hops from c group by id",
+    "shortest_paths": f"with recursive {_E}, b as (select * from e union select target_id, source_id from e), c as (select p_partkey as start, p_partkey as id, 0 as hops from part where p_partkey % 20 = 0 union select start, b.target_id, hops + 1 from c join b on b.source_id = c.id where hops < 4) select start, id, min(hops) as hops from c group by all",
     "borrowing_neighbours": "select l_suppkey, count(distinct l_partkey) as parts from lineitem group by 1",
-    "graph_cycles": "with recursive e as (select n_nationkey as a, (n_nationkey * 7 + 3) % 31 as b from nation), c as (select a as s, b, 1 as n from e union select c.s, e.b, n + 1 from c join e on e.a = c.b where n < 31) select distinct s as id from c where s = b",
+    "graph_cycles": "with recursive e as (select distinct c_custkey as a, (c_custkey * 7 + 3) % 31 as b from customer), c as (select a as s, b from e union select c.s, e.b from c join e on e.a = c.b) select distinct s as id from c where s = b",
     "temporal_consistency": "select id, node_id from lsr_metadata m join graph_nodes n on neo4j_id = node_id where n.date_start > m.date_end or n.date_end < m.date_start",
     "orphan_nodes": "select node_id, language_code from graph_nodes where node_id not in (select neo4j_id from lsr_metadata where neo4j_id is not null)",
     "unattested": r"""select language_code, count(*) as n from lsr_metadata where id not in (select lower(regexp_replace(lsr_id, '^[\s\x{a0}{(]+|[\s\x{a0})}]+$', '', 'g')) from attestations where lsr_id is not null) group by 1""",
