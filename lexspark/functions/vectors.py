@@ -42,3 +42,14 @@ def plane(a: Column) -> tuple[Column, Column]:
     even = F.aggregate(F.filter(a, lambda x, i: i % 2 == 0), F.lit(0.0), lambda s, x: s + x)
     odd = F.aggregate(F.filter(a, lambda x, i: i % 2 == 1), F.lit(0.0), lambda s, x: s + x)
     return tuple(F.when(n < 2, 0.0).otherwise(F.round(v / F.nullif(n, F.lit(0)) * 2, 4) + F.lit(0.0)) for v in (even, odd))
+
+
+def embedded(text: Column, dims: int = 16) -> Column:
+    """A text as a vector without a trained model: each word adds 1 or -1 to the place that its hash gives (dims to 16).
+
+    Null and empty texts give an empty vector.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.struct((F.conv(F.substring(F.md5(w), 1, 1), 16, 10).cast("int") % dims).alias("at"), F.when(F.substring(F.md5(w), 2, 1) < "8", 1.0).otherwise(-1.0).alias("sign")))
+    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(places, F.lit(0.0), lambda s, p: s + F.when(p["at"] == i, p["sign"]).otherwise(0.0)))
+    return F.when(F.size(words) > 0, v).otherwise(F.array().cast("array<double>"))

@@ -70,3 +70,55 @@ def centroids(series: DataFrame) -> DataFrame:
     """Mean vector of each form, by place."""
     x = series.select("form", F.posexplode("vec").alias("place", "v"))
     return x.groupBy("form", "place").agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
+def trajectory(series: DataFrame) -> DataFrame:
+    """Every dated point of (form, lang, id, date, vec, definition, confidence, attestations) with its place on the way:
+    x, y, the step from the point before, whether it is a shift, its type and confidence, and the drift so far.
+    """
+    x, y = V.plane(F.col("vec"))
+    w = _order()
+    p = series.filter("date is not null")
+    p = p.withColumns({"step": F.coalesce(V.drift(F.lag("vec").over(w), F.col("vec")), F.lit(0.0)), "before": F.lag("definition").over(w), "trust": F.lag("confidence").over(w), "x": x, "y": y})
+    p = p.withColumn("shifted", F.col("step") > SHIFT)
+    p = p.withColumn("running", F.round(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4))
+    kind = F.when(F.col("shifted"), shift_type(F.col("before"), F.col("definition")))
+    return p.select(*KEY, "id", "date", "x", "y", "definition", "attestations", "confidence", F.round("step", 4).alias("magnitude"), "shifted", kind.alias("shift_type"), F.when(F.col("shifted"), F.least("trust", "confidence")).alias("shift_confidence"), "running")
+
+
+def shift_rows(series: DataFrame, least: float = 0.3) -> DataFrame:
+    """The shifts of at least a magnitude with their evidence in words."""
+    x = trajectory(series).filter(F.col("shifted") & (F.col("magnitude") >= least))
+    return x.select(*KEY, "id", "date", "magnitude", "shift_type", "shift_confidence", F.format_string("distance %.3f at %d", F.col("magnitude"), F.col("date")).alias("evidence"))
+
+
+def shift_edges(series: DataFrame) -> DataFrame:
+    """SHIFTED_TO edges between the records of consecutive points of a shift, the earlier first."""
+    x = series.filter("date is not null").withColumns({"from": F.lag("id").over(_order()), "step": V.drift(F.lag("vec").over(_order()), F.col("vec"))})
+    return x.filter(F.col("step") > SHIFT).select(F.col("from").alias("source_id"), F.col("id").alias("target_id"), F.lit("SHIFTED_TO").alias("relationship_type"), F.col("date").alias("date_of_change"))
+
+
+def found_or_form(asked: DataFrame, series: DataFrame) -> DataFrame:
+    """asked (form, lang) with its points' number: of the language, or of the form in any language where that has none."""
+    own = series.groupBy(*KEY).agg(F.count("*").alias("own"))
+    every = series.groupBy("form").agg(F.count("*").alias("every"))
+    return asked.distinct().join(own, KEY, "left").join(every, "form", "left").select(*KEY, F.coalesce("own", "every", F.lit(0)).alias("points"), F.when(F.col("own").isNotNull(), "language").when(F.col("every").isNotNull(), "form").otherwise("none").alias("found_by"))
+
+
+def extremes(divergences: DataFrame) -> DataFrame:
+    """(form, most_similar, most_divergent) pairs of languages of each form; of equal ones the first."""
+    pair = F.concat_ws("-", "a", "b")
+    return divergences.groupBy("form").agg(F.min(F.struct("divergence", pair.alias("p")))["p"].alias("most_similar"), F.min(F.struct((-F.col("divergence")).alias("d"), pair.alias("p")))["p"].alias("most_divergent"))
+
+
+def field_evolution(points: DataFrame) -> DataFrame:
+    """(field, century, n, moved): mean vectors of semantic fields by century and how far they moved since the one before.
+
+    points (field, date, vec).
+    """
+    x = points.filter("date is not null and size(vec) > 0").withColumn("century", (F.floor(F.col("date") / 100) * 100).cast("int"))
+    m = x.select("field", "century", F.posexplode("vec").alias("place", "v")).groupBy("field", "century", "place").agg(F.avg("v").alias("v"))
+    c = m.groupBy("field", "century").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda p: p["v"]).alias("c"))  # as many as a vector has places
+    n = x.groupBy("field", "century").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("field").orderBy("century")
+    return c.join(n, ["field", "century"]).withColumn("moved", F.round(V.drift(F.lag("c").over(w), F.col("c")), 4)).select("field", "century", "n", "moved")
