@@ -83,13 +83,13 @@ def trajectory(series: DataFrame) -> DataFrame:
     p = p.withColumn("shifted", F.col("step") > SHIFT)
     p = p.withColumn("running", F.round(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4))
     kind = F.when(F.col("shifted"), shift_type(F.col("before"), F.col("definition")))
-    return p.select(*KEY, "id", "date", "x", "y", "definition", "attestations", "confidence", F.round("step", 4).alias("magnitude"), "shifted", kind.alias("shift_type"), F.when(F.col("shifted"), F.least("trust", "confidence")).alias("shift_confidence"), "running")
+    return p.select(*KEY, "id", "date", "x", "y", "definition", "attestations", "confidence", F.round("step", 4).alias("magnitude"), "shifted", kind.alias("shift_type"), F.when(F.col("shifted"), F.least("trust", "confidence")).alias("shift_confidence"), "running", F.col("step").alias("distance"))
 
 
 def shift_rows(series: DataFrame, least: float = 0.3) -> DataFrame:
     """The shifts of at least a magnitude with their evidence in words."""
     x = trajectory(series).filter(F.col("shifted") & (F.col("magnitude") >= least))
-    return x.select(*KEY, "id", "date", "magnitude", "shift_type", "shift_confidence", F.format_string("distance %.3f at %d", F.col("magnitude"), F.col("date")).alias("evidence"))
+    return x.select(*KEY, "id", "date", "magnitude", "shift_type", "shift_confidence", F.format_string("distance %.3f at %d", F.col("distance"), F.col("date")).alias("evidence"))
 
 
 def shift_edges(series: DataFrame) -> DataFrame:
@@ -121,4 +121,4 @@ def field_evolution(points: DataFrame) -> DataFrame:
     c = m.groupBy("field", "century").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda p: p["v"]).alias("c"))  # as many as a vector has places
     n = x.groupBy("field", "century").agg(F.count("*").alias("n"))
     w = Window.partitionBy("field").orderBy("century")
-    return c.join(n, ["field", "century"]).withColumn("moved", F.round(V.drift(F.lag("c").over(w), F.col("c")), 4)).select("field", "century", "n", "moved")
+    return c.join(n, ["field", "century"]).withColumn("before", F.lag("c").over(w)).withColumn("moved", F.when(F.col("before").isNotNull(), F.round(V.drift(F.col("before"), F.col("c")), 4))).select("field", "century", "n", "moved")

@@ -88,7 +88,7 @@ QUERIES = {
     "vector_centroids": lambda s, d: D.centroids(series(s, d)),
     "cosine_topk": nearest,
     "definition_shifts": definition_shifts,
-    "word_trajectories": lambda s, d: D.trajectory(words(s, d)),
+    "word_trajectories": lambda s, d: D.trajectory(words(s, d)).drop("distance"),
     "word_shifts": lambda s, d: D.shift_rows(words(s, d)),
     "shift_edges": lambda s, d: D.shift_edges(words(s, d)),
     "trajectory_lookup": lambda s, d: D.found_or_form(table(s, d, "graph_nodes", F.col("form_normalized").alias("form"), F.col("language_code").alias("lang")).filter("form is not null and lang is not null"), words(s, d)),
@@ -112,7 +112,7 @@ tr as (select form, lang, id, date, case when vec is null then 0.0 else round(li
 _DIV = f"with {_V} select a.form, a.lang as a, b.lang as b, round(0.7 * least(1.0, greatest(0.0, 1 - list_cosine_similarity(a.final, b.final))) + 0.3 * least(1.0, abs(round(a.tot, 4) - round(b.tot, 4))), 4) as divergence from t a join t b on a.form = b.form and a.lang < b.lang"
 SQL = {
     "word_trajectories": f"with {_P} select form, lang, id, date, x, y, definition, attestations, confidence, magnitude, shifted, shift_type, shift_confidence, running from tr",
-    "word_shifts": f"with {_P} select form, lang, id, date, magnitude, shift_type, shift_confidence, printf('distance %.3f at %d', magnitude, date) as evidence from tr where shifted and magnitude >= 0.3",
+    "word_shifts": f"with {_P} select form, lang, id, date, magnitude, shift_type, shift_confidence, printf('distance %.3f at %d', step, date) as evidence from tr where shifted and magnitude >= 0.3",
     "shift_edges": f"with {_P} select prev as source_id, id as target_id, 'SHIFTED_TO' as relationship_type, date as date_of_change from tr where shifted",
     "trajectory_lookup": f"with {_P}, o as (select form, lang, count(*) as own from pt group by all), f as (select form, count(*) as every from pt group by all), q as (select distinct form_normalized as form, language_code as lang from graph_nodes where form_normalized is not null and language_code is not null) select form, lang, coalesce(own, every, 0) as points, case when own is not null then 'language' when every is not null then 'form' else 'none' end as found_by from q left join o using (form, lang) left join f using (form)",
     "divergence_extremes": f"select form, first(p order by divergence, p) as most_similar, first(p order by divergence desc, p) as most_divergent from (select form, a || '-' || b as p, divergence from ({_DIV})) group by form",

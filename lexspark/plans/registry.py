@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import contact, dating, drift, edges, graph, learning, quality, records, references, relations, resolve, sources, store, streams, wikitext
+from lexspark.plans import alerts, contact, dating, drift, edges, graph, learning, quality, records, references, relations, resolve, scalars, sources, store, streams, wikitext
 
 FLAGSHIP = "text_dating"
-_MODULES = (dating, records, resolve, contact, drift, edges, graph, store, sources, wikitext, relations, quality, streams, learning, references)
+_MODULES = (dating, records, scalars, alerts, resolve, contact, drift, edges, graph, store, sources, wikitext, relations, quality, streams, learning, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

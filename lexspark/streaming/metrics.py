@@ -78,15 +78,20 @@ def limited(events: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
     out = "user_id bigint, event_id bigint, accepted boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times: list[float] = list(state.get[0]) if state.exists else []
         for b in batches:
             b = b.sort_values(["ts", "event_id"])
             ok, times = admit(b["ts"].astype("int64").to_numpy() / 1e9 if str(b["ts"].dtype).endswith("[ns]") else b["ts"].map(pd.Timestamp.timestamp).to_numpy(), times, most, seconds)
             yield pd.DataFrame({"user_id": key[0], "event_id": b["event_id"], "accepted": ok})
+        # a user from whom nothing came for a window has no accepted time left: the state may go
         state.update((times,))
+        state.setTimeoutDuration(seconds * 1000)
 
     x = timed(events).select("user_id", "event_id", "ts")
-    return x.groupBy("user_id").applyInPandasWithState(step, out, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return x.groupBy("user_id").applyInPandasWithState(step, out, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def admit(times, before: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
