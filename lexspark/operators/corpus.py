@@ -41,9 +41,9 @@ def collocations(docs: DataFrame, distance: int = 2, least: int = 5) -> DataFram
 
 
 def cognate_matrix(lsr: DataFrame, concepts: list[str]) -> DataFrame:
-    """Presence of each concept (first word of a definition) by language, as columns."""
-    c = F.regexp_extract(F.lower("definition_primary"), r"([a-z]+)", 1)
-    return lsr.select("language_code", c.alias("c")).groupBy("language_code").pivot("c", concepts).agg(F.lit(1)).na.fill(0)
+    """Presence of each concept (a word of a definition) by language, as columns."""
+    words = F.split(F.lower("definition_primary"), "[^a-z]+")
+    return lsr.groupBy("language_code").agg(*[F.max(F.when(F.array_contains(words, c), 1).otherwise(0)).alias(c) for c in concepts])
 
 
 def language_distance(lsr: DataFrame) -> DataFrame:
@@ -55,10 +55,64 @@ def language_distance(lsr: DataFrame) -> DataFrame:
     return y.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(1 - F.avg(edit_similarity(F.col("fa"), F.col("fb"))), 6).alias("distance"))
 
 
-def split(lsr: DataFrame) -> DataFrame:
-    """80/10/10 by a hash of the id within each language: (id, part)."""
-    h = F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 10
-    return lsr.select("id", "language_code", F.when(h < 8, "train").when(h == 8, "validation").otherwise("test").alias("part"))
+def split(lsr: DataFrame, strata: list[str]) -> DataFrame:
+    """(id, strata, part): 80/10/10 inside each stratum by the order of a hash of the id, so that every stratum has its share.
+
+    Ranks inside a stratum come from counts of 256 hash ranges; only inside one range are rows ranked, so a stratum may
+    hold any part of the rows.
+    """
+    h = F.md5("id")
+    x = lsr.select("id", *strata, F.substring(h, 1, 2).alias("_range"), h.alias("_h"))
+    n = x.groupBy(*strata, "_range").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*strata)
+    n = n.withColumns({"_n": F.sum("_k").over(w), "_before": F.sum("_k").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))})
+    n = n.select(*[F.col(c).alias(f"n{c}") for c in (*strata, "_range")], "_n", "_before")
+    cond = F.lit(True)
+    for c in (*strata, "_range"):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"n{c}"))
+    at = F.coalesce("_before", F.lit(0)) + F.row_number().over(Window.partitionBy(*strata, "_range").orderBy("_h", "id")) - 1
+    y = x.join(n, cond).withColumn("_s", at / F.col("_n"))
+    return y.select("id", *strata, F.when(F.col("_s") < 0.8, "train").when(F.col("_s") < 0.9, "validation").otherwise("test").alias("part"))
+
+
+def period_collocations(docs: DataFrame, width: int = 250, distance: int = 2, least: int = 5) -> DataFrame:
+    """(period, a, b, n) of content words within `distance`, by period of the text; texts without a year aside."""
+    x = docs.filter("year is not null").select((F.floor(F.col("year") / width) * width).cast("int").alias("period"), F.filter(ascii_words(F.col("text")), lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS)).alias("w"))
+    pairs = F.flatten(F.transform("w", lambda t, i: F.transform(F.slice("w", i + 2, F.lit(distance)), lambda u: F.struct(F.least(t, u).alias("a"), F.greatest(t, u).alias("b")))))
+    return x.select("period", F.explode(pairs).alias("p")).filter("p.a <> p.b").groupBy("period", "p.a", "p.b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def ranks(lsr: DataFrame) -> DataFrame:
+    """(id, language_code, dense, quarter, percent) of dated records by first year inside their language."""
+    w = Window.partitionBy("language_code").orderBy("date_start", "id")
+    y = Window.partitionBy("language_code").orderBy("date_start")
+    return lsr.filter("date_start is not null").select("id", "language_code", F.dense_rank().over(y).alias("dense"), F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(y), 6).alias("percent"))
+
+
+def cube(lsr: DataFrame) -> DataFrame:
+    """Records, different forms and mean confidence by language and part of speech, with all subtotals."""
+    x = lsr.select("language_code", F.explode_outer("part_of_speech").alias("pos"), "form_normalized", "confidence_overall")
+    return x.cube("language_code", "pos").agg(F.count("*").alias("n"), F.count_distinct("form_normalized").alias("forms"), F.round(F.avg("confidence_overall"), 6).alias("mean"), F.grouping_id().alias("level"))
+
+
+def approximate_forms(lsr: DataFrame, error: float = 0.05) -> DataFrame:
+    """(language_code, forms): the number of different forms, by a sketch of fixed size."""
+    return lsr.groupBy("language_code").agg(F.approx_count_distinct("form_normalized", error).alias("forms"))
+
+
+def common_forms(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(form, where): forms of both sides, of the first and of the second only."""
+    both, left, right = a.intersect(b), a.exceptAll(b).distinct().join(b, "form", "left_anti"), b.distinct().join(a, "form", "left_anti")
+    return both.withColumn("where", F.lit("both")).unionByName(left.withColumn("where", F.lit("first"))).unionByName(right.withColumn("where", F.lit("second")))
+
+
+def distances_by_clades(trees: DataFrame) -> DataFrame:
+    """(a, b, distance) of every two of a few trees (tree, clade): clades that only one of them has."""
+    t = trees.select("tree", "clade").distinct()
+    n = t.groupBy("tree").agg(F.count("*").alias("n"))
+    common = t.select(F.col("tree").alias("a"), "clade").join(t.select(F.col("tree").alias("b"), "clade"), "clade").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    pairs = common.join(n.select(F.col("tree").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("tree").alias("b"), F.col("n").alias("nb")), "b")
+    return pairs.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("k")).alias("distance"))
 
 
 def robinson_foulds(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -64,11 +64,50 @@ def colexification(lsr: DataFrame) -> DataFrame:
 def queue(validation: DataFrame) -> DataFrame:
     """Open items by priority, then age, numbered per assignee."""
     x = validation.withColumn("status", F.lower(F.trim("status"))).filter("status = 'pending'").dropDuplicates(["id"])
-    w = Window.partitionBy("assigned_to").orderBy(F.desc("priority"), "created_at", "id")
-    return x.select("id", "assigned_to", "priority", F.row_number().over(w).alias("place"))
+    # places inside a priority, then the items of higher ones before it: many items without an assignee are no one group
+    w = Window.partitionBy("assigned_to", "priority").orderBy("created_at", "id")
+    x = x.select("id", "assigned_to", "priority", F.row_number().over(w).alias("within"))
+    n = x.groupBy("assigned_to", "priority").agg(F.count("*").alias("k"))
+    above = F.sum("k").over(Window.partitionBy("assigned_to").orderBy(F.desc("priority")).rowsBetween(Window.unboundedPreceding, -1))
+    n = n.select(F.col("assigned_to").alias("_a"), F.col("priority").alias("_p"), F.coalesce(above, F.lit(0)).alias("above"))
+    y = x.join(n, F.col("assigned_to").eqNullSafe(F.col("_a")) & F.col("priority").eqNullSafe(F.col("_p")))
+    return y.select("id", "assigned_to", "priority", (F.col("within") + F.col("above")).cast("int").alias("place"))
 
 
 def calibrated(confidence: Column, sources: Column, reviewed: Column, reconstructed: Column) -> Column:
     """Confidence plus 0.1 for several sources, plus 0.2 if reviewed, less 0.2 if reconstructed, between 0 and 1."""
     up = F.when(sources > 1, 0.1).otherwise(0.0) + F.when(reviewed, 0.2).otherwise(0.0) - F.when(reconstructed, 0.2).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence + up))
+
+
+def clamped(confidence: Column, factor: Column) -> Column:
+    """A confidence times a factor, between 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence * factor))
+
+
+def density(lsr: DataFrame, facts: DataFrame) -> DataFrame:
+    """(language_code, period_label, records, attestations, density): attestations a record; facts (lsr_id, n)."""
+    x = lsr.join(facts, lsr["id"] == facts["lsr_id"], "left").groupBy("language_code", "period_label")
+    return x.agg(F.count("*").alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("attestations")).withColumn("density", F.round(F.col("attestations") / F.col("records"), 6))
+
+
+def confidence_clusters(lsr: DataFrame, z: float = 1.0) -> DataFrame:
+    """(language_code, period_label, n, mean, z): groups whose mean confidence is unusually high or low among all groups."""
+    g = lsr.filter("confidence_overall is not null").groupBy("language_code", "period_label").agg(F.count("*").alias("n"), F.avg("confidence_overall").alias("mean"))
+    m = g.agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("sd")).first()  # two numbers
+    score = (F.col("mean") - F.lit(m["m"])) / F.nullif(F.lit(m["sd"]), F.lit(0.0))
+    return g.withColumn("z", F.round(score, 6)).filter(F.abs("z") > z).select("language_code", "period_label", "n", F.round("mean", 6).alias("mean"), "z")
+
+
+def loads(log: DataFrame) -> DataFrame:
+    """(source_name, processed, succeeded, failed, skipped, rate) of a load log; rows delivered twice once."""
+    st = F.lower(F.trim("status"))
+    x = log.dropDuplicates(["id"]).groupBy("source_name").agg(F.count("*").alias("processed"), F.count_if(st.isin("processed", "success", "succeeded", "done", "ok")).alias("succeeded"), F.count_if(st.isin("failed", "error")).alias("failed"), F.count_if(st == "skipped").alias("skipped"))
+    return x.withColumn("rate", F.round(F.col("succeeded") / F.col("processed"), 6))
+
+
+def aged_orphans(nodes: DataFrame, edges: DataFrame, now: str, days: int) -> DataFrame:
+    """(node_id, language_code): nodes of at least so many days before `now` without an edge; edges (source_id, target_id)."""
+    old = nodes.filter(F.col("created_at") < F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    return old.join(ends, old["node_word"] == ends["id"], "left_anti").select("node_id", "language_code")

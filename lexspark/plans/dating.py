@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import dating as D
 from lexspark.schema import STOP_WORDS
+from lexspark.session import written
 from lexspark.sources.tables import dedup_deliveries, table
 
 
@@ -16,13 +17,18 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 def _periods(s: SparkSession, d: str) -> DataFrame:
     q = dedup_deliveries(table(s, d, "attestations", "id", "text_excerpt", "text_date"), "id")
-    return D.word_periods(q.select(F.col("text_excerpt").alias("text"), F.col("text_date").alias("year")), "en")
+    return D.word_periods(q.filter(D.in_english(F.col("text_excerpt"))).select(F.col("text_excerpt").alias("text"), F.col("text_date").alias("year")), "en")
+
+
+def _written_periods(s: SparkSession, d: str) -> DataFrame:
+    return written(_periods(s, d))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 SQL_TOKENS = r"""
 q as (select distinct on (id) id, text_excerpt as text, text_date as year from attestations),
-qt as (select year, lower(unnest(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')))) as form from q where year is not null and text is not null),
+qw as (select year, list_transform(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')), lambda x: lower(x)) as w from q where year is not null and text is not null),
+qt as (select year, unnest(w) as form from qw where len(w) > 0 and len(list_filter(w, lambda x: x in (STOP))) >= 0.2 * len(w)),
 lex as (select form, 'en' as lang, min(year) as date_start, max(year) as date_end from qt group by form),
 dw as (select doc_id, lang, year, list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')) as w from documents where text is not null),
 tok as (select * from (select doc_id, lang, year, generate_subscripts(w, 1) - 1 as pos, lower(unnest(w)) as form from dw) where length(form) > 2 and form not in (STOP)),
@@ -31,10 +37,10 @@ hit as (select t.*, l.date_start, l.date_end from tok t left join lex l using (f
 
 QUERIES = {
     "word_periods": lambda s, d: _periods(s, d),
-    "text_dating": lambda s, d: D.date_texts(_docs(s, d), _periods(s, d)),
-    "dating_diagnostics": lambda s, d: D.diagnostics(_docs(s, d), _periods(s, d)),
-    "anachronism_words": lambda s, d: D.anachronism_words(_docs(s, d), _periods(s, d)),
-    "anachronism_verdicts": lambda s, d: D.verdicts(_docs(s, d), _periods(s, d)),
+    "text_dating": lambda s, d: D.date_texts(_docs(s, d), _written_periods(s, d)),
+    "dating_diagnostics": lambda s, d: D.diagnostics(_docs(s, d), _written_periods(s, d)),
+    "anachronism_words": lambda s, d: D.anachronism_words(_docs(s, d), _written_periods(s, d)),
+    "anachronism_verdicts": lambda s, d: D.verdicts(_docs(s, d), _written_periods(s, d)),
 }
 SQL = {
     "word_periods": f"with {SQL_TOKENS} select form, lang, date_start, date_end from lex",

@@ -43,9 +43,6 @@ QUERIES = {
 }
 _S = "replace(replace(replace(replace(replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _A = lambda c: f"regexp_replace({c}, '[^A-Za-z]', '', 'g')"
-# Soundex: the first letter, then the digits of the letters after it; equal digits in a row count once, also across h and w
-_L = "upper(regexp_replace(form_normalized, '[^A-Za-z]', '', 'g'))"
-_D = "translate(regexp_replace({0}, '[HW]', '', 'g'), 'AEIOUYBFPVCGJKQSXZDTLMNR', '000000111122222222334556')"
 SQL = {
     "composed_forms": "select id, nfc_normalize(form_phonetic) as phonetic, nfc_normalize(form_normalized) as normalized from lsr_metadata",
     "sanitized_lists": f"with x as (select entry_id, list_transform(definitions[1:2], lambda t: substr({_S}, 1, 40)) as l from raw_entries) select entry_id, case when l is not null then coalesce(array_to_string(list_filter(l, lambda t: t <> ''), '|'), '') end as definitions from x",
