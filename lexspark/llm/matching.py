@@ -62,11 +62,11 @@ def _with_words(x: DataFrame) -> DataFrame:
 
 
 def _senses(x: DataFrame, same: DataFrame, usual: int) -> DataFrame:
-    """With the canonical words cw, `sense` of whole definitions, and a class id."""
+    """With the canonical words cw, `sense` of whole definitions (a hash; joins on it compare the words), and a class id."""
     x = X.rewritten(x, same).drop("w")
     whole = ~F.col("cut") & (F.size("cw") >= usual)
-    x = x.withColumn("sense", F.when(whole, F.concat_ws(" ", "cw")))
-    given = ["iso", "sk", "pos", F.concat_ws(" ", "cw"), F.col("cw").isNull(), whole]
+    x = x.withColumn("sense", F.when(whole, F.xxhash64("cw")))
+    given = ["iso", "sk", "pos", "cw", F.col("cw").isNull(), whole]
     return x.withColumn("c_id", F.xxhash64(*given)).withColumn("c_no", F.xxhash64(F.lit("second"), *given)).drop("cut")
 
 
@@ -101,6 +101,9 @@ def _passes(r: DataFrame):
         cond = on[0]
         for c in on[1:]:
             cond = cond & c
+        if "sense" in keys:
+            # the only sense that a record without one is given is known by its hash alone
+            cond = cond & (F.col("r_bare") | (F.col("cw") == F.col("r_cw")))
         return o.join(right, cond)
 
     yield lambda o: keyed(o.filter("sense is not null"), whole, "iso", "sk", "sense").withColumn("rule", F.lit(0))
@@ -137,22 +140,22 @@ def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFram
     words = e.select("iso", "sk", "w", "cut").unionByName(r.select("iso", "sk", "w", "cut")).filter("w is not null and not cut")
     usual = max(words.select(F.percentile_approx(F.size("w"), SHORT_SHARE)).first()[0] or 0, 2)
     same = X.learned(words.select(F.concat_ws("|", "iso", "sk").alias("k"), "w"))
-    e, r = written(_senses(e, same, usual)), written(_senses(r, same, usual))
+    e, r = _senses(e, same, usual), _senses(r, same, usual)
     open_, rc = written(_classes(e)), written(_record_side(_classes(r)))
     known = (F.col("sound") != "") & (F.col("r_sound") != "")
     right = known & (1 - F.levenshtein("sound", "r_sound") / F.greatest(F.length("sound"), F.length("r_sound")) >= SAME_SOUND)
     found = None
     for join in _passes(rc):
         x = join(open_).filter("rule is not null").select(*CLASS, *R_CLASS, "rule", F.col("r_bare").alias("bare"), known.alias("known"), right.alias("right"))
-        hit = written(x.groupBy(*CLASS, *R_CLASS).agg(F.min("rule").alias("rule"), F.min("bare").alias("bare"), F.max("known").alias("known"), F.max("right").alias("right")))
+        x = x.groupBy(*CLASS, *R_CLASS).agg(F.min("rule").alias("rule"), F.min("bare").alias("bare"), F.max("known").alias("known"), F.max("right").alias("right"))
+        # within a pass as well only the first rule of an entry class counts
+        hit = written(x.withColumn("first", F.min("rule").over(Window.partitionBy(*CLASS))).filter("rule = first").drop("first"))
         found = hit if found is None else found.unionByName(hit)
-        open_ = open_.join(hit.select(*CLASS).distinct(), CLASS, "left_anti")
-    # within a pass as well only the first rule of an entry class counts
-    first = found.groupBy(*CLASS).agg(F.min("rule").alias("rule"))
-    found = found.join(first, [*CLASS, "rule"]).withColumn("name", F.when(F.col("bare"), BARE).otherwise(F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)))
-    found = written(found)
+        # resolved classes end here; what is left is written out, as each pass after this one reads it
+        open_ = written(open_.join(hit.select(*CLASS), CLASS, "left_anti"))
+    found = found.withColumn("name", F.when(F.col("bare"), BARE).otherwise(F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)))
     trust = found.groupBy("name").agg(((F.count_if("right") + PRIOR_RIGHT) / (F.count_if("known") + PRIOR_RIGHT + PRIOR_WRONG)).alias("confidence"))
     found = found.join(F.broadcast(trust), "name")  # one row a rule
-    pairs = found.select(*CLASS, *R_CLASS, "name", "confidence").join(e.select(*CLASS, "entry_id").distinct(), CLASS)
+    pairs = found.select(*CLASS, *R_CLASS, "name", "confidence").join(e.select(*CLASS, "entry_id"), CLASS)
     pairs = pairs.join(r.select(*[F.col(c).alias(f"r_{c}") for c in CLASS], "lsr_id"), R_CLASS)
     return pairs.groupBy("entry_id", "lsr_id").agg(F.max(F.struct("confidence", "name")).alias("x")).select("entry_id", "lsr_id", F.col("x.name").alias("rule"), "x.confidence")
