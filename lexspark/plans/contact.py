@@ -36,15 +36,17 @@ def recipients(x, languages):
     return x.withColumn("recipient", F.coalesce("by_name", "by_code", F.lit(UNKNOWN))).drop("k", "c", "by_name", "by_code")
 
 
-def borrowings(s, d):
-    """Every borrowing with a listed donor; the recipient is resolved from how it is written."""
+def borrowings(s, d, every=False):
+    """Borrowings with a listed donor: every one, the recipient resolved from how it is written, or those whose language is exactly a name."""
     e = table(s, d, "raw_entries", "entry_id", "form", "language", "language_code", "etymology", "definitions", "date_attested")
     pick = lambda g: F.coalesce(*[F.nullif(F.regexp_extract("etymology", p, g), F.lit("")) for p in PATTERNS])
     lang = F.broadcast(table(s, d, "languages", "name", F.col("iso_code").alias("donor")))  # the fixed canonical list
     field = F.regexp_extract("etymology", FIELD, 1)
     x = e.select("form", "language", "language_code", pick(1).alias("name"), pick(2).alias("source_form"), F.when(field != "", F.array(field)).alias("fields"), F.try_element_at("definitions", F.lit(1)).alias("definition"), F.col("date_attested").alias("year"))
-    x = recipients(x.join(lang, "name"), table(s, d, "languages", "name", "iso_code", "alt_names"))
-    return x.select("donor", "recipient", "year", "form", "source_form", "fields", "definition")
+    x = x.join(lang, "name")
+    if not every:
+        x = x.join(lang.select(F.col("name").alias("language")), "language", "left_semi")
+    return recipients(x, table(s, d, "languages", "name", "iso_code", "alt_names")).select("donor", "recipient", "year", "form", "source_form", "fields", "definition")
 
 
 _PICK = lambda g: "coalesce(" + ", ".join(f"nullif(regexp_extract(etymology, '{p}', {g}), '')" for p in PATTERNS) + ")"
@@ -60,16 +62,16 @@ _SIDES = "s as (select recipient as language, donor as other, 'incoming' as dire
 _K = "language, other, direction, century"
 
 QUERIES = {
-    "contact_events": lambda s, d: C.events(borrowings(s, d), min_borrowings=2),
-    "borrowing_by_century": lambda s, d: C.by_century(borrowings(s, d)),
-    "borrowing_by_domain": lambda s, d: C.by_domain(borrowings(s, d)),
-    "borrowing_peaks": lambda s, d: C.peak_century(borrowings(s, d)),
-    "suffix_adaptations": lambda s, d: C.adaptations(borrowings(s, d)),
-    "contact_intensity": lambda s, d: C.intensity(borrowings(s, d)),
-    "contact_events_ordered": lambda s, d: C.ordered_events(C.events(borrowings(s, d), min_borrowings=2), "vrd"),
-    "borrowings_between": lambda s, d: C.between(borrowings(s, d), 1500, 1700).groupBy("donor").agg(F.count("*").alias("n"), F.count("year").alias("dated")),
-    "borrowing_patterns": lambda s, d: C.patterns(borrowings(s, d)),
-    "borrowing_labels": lambda s, d: C.century_labels(borrowings(s, d)),
+    "contact_events": lambda s, d: C.events(borrowings(s, d, True), min_borrowings=2),
+    "borrowing_by_century": lambda s, d: C.by_century(borrowings(s, d, True)),
+    "borrowing_by_domain": lambda s, d: C.by_domain(borrowings(s, d, True)),
+    "borrowing_peaks": lambda s, d: C.peak_century(borrowings(s, d, True)),
+    "suffix_adaptations": lambda s, d: C.adaptations(borrowings(s, d, True)),
+    "contact_intensity": lambda s, d: C.intensity(borrowings(s, d, True)),
+    "contact_events_ordered": lambda s, d: C.ordered_events(C.events(borrowings(s, d, True), min_borrowings=2), "vrd"),
+    "borrowings_between": lambda s, d: C.between(borrowings(s, d, True), 1500, 1700).groupBy("donor").agg(F.count("*").alias("n"), F.count("year").alias("dated")),
+    "borrowing_patterns": lambda s, d: C.patterns(borrowings(s, d, True)),
+    "borrowing_labels": lambda s, d: C.century_labels(borrowings(s, d, True)),
 }
 _EVENTS = f"""with {BORROW}, {_SIDES}, g as (select {_K}, count(*) as n, stddev_pop(year) as sd from sc group by all),
 dc as (select {_K}, domain, count(*) as c from sc where domain is not null group by all), dp as (select *, c / sum(c) over (partition by {_K}) as p from dc),

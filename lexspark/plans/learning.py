@@ -34,7 +34,7 @@ def aligned_vectors(s, d):
 
 
 def rate_anomalies(s, d):
-    b = by_century(borrowings(s, d)).groupBy(F.col("donor").alias("key"), F.col("century").alias("bin")).agg(F.sum("n").alias("n"))
+    b = by_century(borrowings(s, d, True)).groupBy(F.col("donor").alias("key"), F.col("century").alias("bin")).agg(F.sum("n").alias("n"))
     return L.rate_anomalies(b)
 
 
