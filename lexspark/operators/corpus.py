@@ -90,9 +90,9 @@ def ranks(lsr: DataFrame) -> DataFrame:
 
 
 def cube(lsr: DataFrame) -> DataFrame:
-    """Records, different forms and mean confidence by language and part of speech, with all subtotals."""
+    """Records, different forms and summed confidence by language and part of speech, with all subtotals."""
     x = lsr.select("language_code", F.explode_outer("part_of_speech").alias("pos"), "form_normalized", "confidence_overall")
-    return x.cube("language_code", "pos").agg(F.count("*").alias("n"), F.count_distinct("form_normalized").alias("forms"), F.round(F.avg("confidence_overall"), 6).alias("mean"), F.grouping_id().alias("level"))
+    return x.cube("language_code", "pos").agg(F.count("*").alias("n"), F.count_distinct("form_normalized").alias("forms"), F.round(F.sum("confidence_overall"), 6).alias("total"), F.grouping_id().alias("level"))
 
 
 def approximate_forms(lsr: DataFrame, error: float = 0.05) -> DataFrame:

@@ -118,7 +118,7 @@ select a.language_code as a, b.language_code as b, count(*) as n, round(1 - avg(
     "period_collocations": f"""with {_TOK}, t as (select doc_id, cast(floor(year / 250) * 250 as int) as period, unnest(w) as t, generate_subscripts(w, 1) as i from dw where year is not null)
 select x.period, least(x.t, y.t) as a, greatest(x.t, y.t) as b, count(*) as n from t x join t y on x.doc_id = y.doc_id and y.i - x.i in (1, 2) where x.t <> y.t group by all having count(*) >= 5""",
     "period_ranks": "select id, language_code, dense_rank() over (partition by language_code order by date_start) as dense, ntile(4) over (partition by language_code order by date_start, id) as quarter, round(percent_rank() over (partition by language_code order by date_start), 6) as percent from lsr_metadata where date_start is not null",
-    "form_cube": "with x as (select language_code, unnest(case when len(part_of_speech) > 0 then part_of_speech else [null] end) as pos, form_normalized, confidence_overall from lsr_metadata) select language_code, pos, count(*) as n, count(distinct form_normalized) as forms, round(avg(confidence_overall), 6) as mean, grouping(language_code, pos) as level from x group by cube (language_code, pos)",
+    "form_cube": "with x as (select language_code, unnest(case when len(part_of_speech) > 0 then part_of_speech else [null] end) as pos, form_normalized, confidence_overall from lsr_metadata) select language_code, pos, count(*) as n, count(distinct form_normalized) as forms, round(sum(confidence_overall), 6) as total, grouping(language_code, pos) as level from x group by cube (language_code, pos)",
     "approximate_forms": "select language_code, count(distinct form_normalized) as forms, true as near from lsr_metadata where language_code is not null group by 1",
     "common_forms": f"with a as (select distinct form_normalized as form from lsr_metadata where form_normalized is not null), b as (select distinct {FORM('form')} as form from raw_entries where form is not null) select coalesce(a.form, b.form) as form, case when a.form is null then 'second' when b.form is null then 'first' else 'both' end as where from a full join b on a.form = b.form",
     "tree_distances": "with x as (select iso_code, family, script, branch_path[1] as branch from languages), t as (select distinct 'branch' as tree, string_agg(iso_code, ',' order by iso_code) as clade from x group by branch union select 'script', string_agg(iso_code, ',' order by iso_code) from x group by family, script union select 'family', string_agg(iso_code, ',' order by iso_code) from x group by family), n as (select tree, count(*) as n from t group by 1), k as (select a.tree as a, b.tree as b, count(*) as k from t a join t b on a.clade = b.clade and a.tree < b.tree group by all) select a, b, na.n + nb.n - 2 * k as distance from k join n na on na.tree = a join n nb on nb.tree = b",
