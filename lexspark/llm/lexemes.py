@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm.lookalike import HOMOGLYPHS
@@ -63,9 +63,8 @@ def skeleton(form: Column) -> Column:
 
 def loose(skeleton_: Column) -> Column:
     """A skeleton without what variant spellings differ in: doubled letters and letters written with two signs."""
-    x = F.regexp_replace(F.translate(skeleton_, "þðæœøkqvyjzç", "ttaeoccuiiss"), "h", "")
+    x = F.translate(skeleton_, "þðæœøkqvyjzçwh", "ttaeoccuiissu")  # h has no other letter: it goes
     x = F.regexp_replace(x, "cs|x", "x")
-    x = F.regexp_replace(x, "w", "u")
     return F.regexp_replace(x, r"(\p{L})\1+", "$1")
 
 
@@ -80,7 +79,9 @@ def real_phonetic(c: Column) -> Column:
 
 def seems_cut(c: Column) -> Column:
     """Whether a text visibly breaks off. A prefix of another member's text is a matter of the group."""
-    return F.lower(F.right(c, F.lit(CUT_TAIL))).rlike(CUT_END) | (F.length(F.translate(c, "(", "")) < F.length(F.translate(c, ")", "")))
+    # the signs have no space within: only what follows the last one is searched
+    last = F.substring_index(F.rtrim(F.right(c, F.lit(CUT_TAIL)), F.lit(" \t\n\x0b\f\r")), " ", -1)
+    return F.lower(last).rlike(CUT_END) | (F.length(F.replace(c, F.lit("("), F.lit(""))) < F.length(F.replace(c, F.lit(")"), F.lit(""))))
 
 
 def stems(definition: Column) -> Column:
@@ -89,11 +90,11 @@ def stems(definition: Column) -> Column:
     x = F.regexp_replace(F.replace(x, F.lit(" sort, for "), F.lit(" ")), r" sort,?\s*$|-like\b", " ")
     # tests that look back stand behind the characters that they are about: positions without those cost nothing
     x = F.regexp_replace(x, r"-(?<=\p{L}-)(?=\p{L})", "")
-    w = F.array_join(F.array_except(F.split(x, r"[^\p{L}]+"), F.array(*map(F.lit, ["", *FUNCTION_WORDS]))), " ")
+    w = F.array_join(F.array_distinct(F.filter(F.split(x, r"[^\p{L}]+"), lambda t: ~t.isin("", *FUNCTION_WORDS))), " ")
     # stems of all words at a time
     w = F.regexp_replace(w, r"(?:ing|ed|e|s)(?!\p{L})(?<=\p{L}{3}(?:ing|ed|e|s))", "")
     w = F.regexp_replace(F.regexp_replace(w, r"i\b", "y"), r"(\p{L})\1\b", "$1")
-    return F.array_sort(F.filter(F.split(w, " "), lambda t: t != ""))
+    return F.sort_array(F.array_remove(F.split(w, " "), ""))
 
 
 def identity(*columns: Column | str) -> Column:
@@ -102,27 +103,28 @@ def identity(*columns: Column | str) -> Column:
     return F.concat(F.hex(F.xxhash64(*given)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), *given)))
 
 
-def _set_hash(w: Column, seed: str) -> Column:
-    """The exclusive or of the hashes of a set's words: taking a word out again costs one operation, however long the set."""
-    return F.aggregate(w, F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.xxhash64(F.lit(seed), t)))
+def _set_hash(seed: str, *given: Column | str) -> Column:
+    """The exclusive or of the hashes of w's words and of what is given: taking a word out again costs one operation, however long w."""
+    return F.aggregate("w", F.xxhash64(F.lit(seed), *given), lambda s, t: s.bitwiseXOR(F.xxhash64(F.lit(seed), t)))
 
 
-def synonyms(words: DataFrame, support: int = 3, share: float = 0.1) -> DataFrame:
+def synonyms(several: DataFrame, lone: DataFrame, support: int = 3, share: float = 0.1) -> DataFrame:
     """(word, same): words that replace each other in definitions of one form, the rarer with the more frequent.
 
-    words: (k, w), form key k with sorted different stems w, of any length; definitions of one word share nothing that
-    could make another one its rewording. Learned: definitions of a form that differ in one word only have an open place;
-    each word in it makes a pair with the most frequent one there, which is linear in the words of a place. A pair
-    counts from `support` places on and from `share` of the rarer word's places.
+    several: a written (k, w), different definitions of two words at least, with form key k and sorted different stems w,
+    of any length; lone: w of the forms with a single definition, which have nothing to compare it with and only count for
+    the words' frequencies. Definitions of one word share nothing that could make another one its rewording. Learned:
+    definitions of a form that differ in one word only have an open place; each word in it makes a pair with the most
+    frequent one there, which is linear in the words of a place. A pair counts from `support` places on and from `share`
+    of the rarer word's places.
     """
-    place = ["k", "size", "h1", "h2"]
-    d = written(words.select("k", "w").distinct().filter("size(w) > 1"))
-    x = d.select("k", F.size("w").alias("size"), _set_hash(F.col("w"), "1").alias("h1"), _set_hash(F.col("w"), "2").alias("h2"), F.explode("w").alias("word"))
-    x = x.select("k", "size", "word", *[F.col(h).bitwiseXOR(F.xxhash64(F.lit(h[1]), "word")).alias(h) for h in ("h1", "h2")])
+    place = ["h1", "h2"]  # of the form, the number of words and the other words: 128 bits together
+    x = several.select(*[_set_hash(h[1], "k", F.size("w")).alias(h) for h in place], F.explode("w").alias("word"))
+    x = x.select("word", *[F.col(h).bitwiseXOR(F.xxhash64(F.lit(h[1]), "word")).alias(h) for h in place])
     # keys and stems are distinct: a count of rows is a count of words in the open place
     places = written(x.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
-    freq = bounded_broadcast(written(x.groupBy("word").agg(F.count("*").alias("f"))))
-    members = x.join(bounded_broadcast(places), place, "left_semi").join(freq, "word")
+    freq = written(several.select("w").unionByName(lone).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("f")))
+    members = written(x.join(bounded_broadcast(places), place, "left_semi").join(bounded_broadcast(freq), "word"))
     tops = members.groupBy(*place).agg(F.min(F.struct((-F.col("f")).alias("f"), F.col("word").alias("same"))).alias("top"))
     pairs = members.join(tops, place).filter("word <> top.same").groupBy("word", F.col("top.same").alias("same")).agg(F.count("*").alias("n"), F.first("f").alias("f"))
     good = pairs.filter((F.col("n") >= support) & (F.col("n") >= share * F.col("f")))
@@ -130,14 +132,20 @@ def synonyms(words: DataFrame, support: int = 3, share: float = 0.1) -> DataFram
 
 
 def learned(words: DataFrame) -> DataFrame:
-    """(word, same) of all synonyms: rounds of synonyms() over the words rewritten so far, until a round finds nothing.
+    """(word, same) of all synonyms of words (k, w): rounds of synonyms() over the words rewritten so far, until a round finds nothing.
 
-    Later rounds find words that only occur beside other synonyms. Each round leaves fewer words, so they end.
+    Later rounds find words that only occur beside other synonyms. Each round leaves fewer words, so they end. Rewriting
+    merges definitions of a form but makes none: forms with a single one are set apart once.
     """
-    same = written(synonyms(words))
+    d = words.select("k", "w").filter("size(w) > 1").distinct()
+    d = written(d.withColumn("n", F.count("*").over(Window.partitionBy("k"))))
+    alone, several = d.filter("n = 1").select("w"), d.filter("n > 1").select("k", "w")
+    again = lambda x, by: rewritten(x, by).withColumn("w", F.array_distinct("cw")).drop("cw").filter("size(w) > 1")
+    same = written(synonyms(several, alone))
     new = same
     while not new.isEmpty():
-        new = written(synonyms(rewritten(words, same).select("k", F.array_distinct("cw").alias("w"))))
+        several = written(again(several, new).distinct())
+        new = written(synonyms(several, again(alone, same)))
         moved = same.join(new.select(F.col("word").alias("same"), F.col("same").alias("to")), "same", "left").select("word", F.coalesce("to", "same").alias("same"))
         same = written(moved.unionByName(new.join(same.select("word"), "word", "left_anti")))
     return same
@@ -154,7 +162,8 @@ def rewritten(x: DataFrame, same: DataFrame, most: int = MAP_WORDS) -> DataFrame
         return x.withColumn("cw", F.col("w"))
     if len(rows) <= most:
         by = F.create_map(*[F.lit(v) for r in rows for v in (r["word"], r["same"])])
-        return x.withColumn("cw", F.array_sort(F.transform("w", lambda t: F.coalesce(F.try_element_at(by, t), t))))
+        known = [r["word"] for r in rows]  # a set; the map is searched word by word
+        return x.withColumn("cw", F.sort_array(F.transform("w", lambda t: F.when(t.isin(*known), F.try_element_at(by, t)).otherwise(t))))
     return joined_words(x, same)
 
 

@@ -126,11 +126,13 @@ def _passes(r: DataFrame):
 
 def _record_side(rc: DataFrame) -> DataFrame:
     """Record classes with what their form's senses are, and a second row for senseless classes of a form with one sense."""
-    by_sk, by_loose = Window.partitionBy("iso", "sk"), Window.partitionBy("iso", "loose")
+    # a skeleton has one loose form: the second window needs no other partitioning than the first
+    by_loose, by_sk = Window.partitionBy("iso", "loose"), Window.partitionBy("iso", "loose", "sk")
     one = lambda w: F.coalesce(F.min("sense").over(w) == F.max("sense").over(w), F.lit(True))
-    rc = rc.withColumn("one_sk", one(by_sk)).withColumn("only", F.min("sense").over(by_sk)).withColumn("one_loose", one(by_loose)).withColumn("bare", F.lit(False))
-    bare = rc.filter("sense is null and one_sk and only is not null").withColumn("sense", F.col("only")).withColumn("bare", F.lit(True))
-    rc = rc.unionByName(bare).drop("only")
+    rc = rc.withColumn("one_loose", one(by_loose)).withColumn("one_sk", one(by_sk)).withColumn("only", F.min("sense").over(by_sk))
+    bare = F.col("sense").isNull() & F.col("one_sk") & F.col("only").isNotNull()
+    rc = rc.withColumn("bare", F.explode(F.when(bare, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    rc = rc.withColumn("sense", F.when(F.col("bare"), F.col("only")).otherwise(F.col("sense"))).drop("only")
     return rc.select(*[F.col(c).alias(f"r_{c}") for c in rc.columns])
 
 
@@ -146,13 +148,14 @@ def match(entries: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFram
     right = known & (1 - F.levenshtein("sound", "r_sound") / F.greatest(F.length("sound"), F.length("r_sound")) >= SAME_SOUND)
     found = None
     for join in _passes(rc):
+        if found is not None:
+            # resolved classes end here; what is left is written out, as each pass after this one reads it
+            open_ = written(open_.join(hit.select(*CLASS), CLASS, "left_anti"))
         x = join(open_).filter("rule is not null").select(*CLASS, *R_CLASS, "rule", F.col("r_bare").alias("bare"), known.alias("known"), right.alias("right"))
         x = x.groupBy(*CLASS, *R_CLASS).agg(F.min("rule").alias("rule"), F.min("bare").alias("bare"), F.max("known").alias("known"), F.max("right").alias("right"))
         # within a pass as well only the first rule of an entry class counts
         hit = written(x.withColumn("first", F.min("rule").over(Window.partitionBy(*CLASS))).filter("rule = first").drop("first"))
         found = hit if found is None else found.unionByName(hit)
-        # resolved classes end here; what is left is written out, as each pass after this one reads it
-        open_ = written(open_.join(hit.select(*CLASS), CLASS, "left_anti"))
     found = found.withColumn("name", F.when(F.col("bare"), BARE).otherwise(F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)))
     trust = found.groupBy("name").agg(((F.count_if("right") + PRIOR_RIGHT) / (F.count_if("known") + PRIOR_RIGHT + PRIOR_WRONG)).alias("confidence"))
     found = found.join(F.broadcast(trust), "name")  # one row a rule

@@ -143,6 +143,38 @@ def test_synonyms_of_any_number(spark):
     assert lexemes.learned(words.limit(0)).count() == 0
 
 
+def test_synonyms_of_shared_forms_only(spark, monkeypatch):
+    """Rounds compare definitions of forms with several ones alone; the words of all forms count for their frequencies."""
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(3)
+    pick = lambda: sorted({rng.choice("abcdefgh"), rng.choice(["jug", "pot", "urn"]), rng.choice(["red", "rosy"])})
+    rows = [(f"s{i}", pick()) for i in range(30) for _ in range(4)] + [(f"l{i}", pick()) for i in range(50)] + [("one", ["jug"])]
+    seen, synonyms = [], lexemes.synonyms
+    monkeypatch.setattr(lexemes, "synonyms", lambda d, *rest: seen.append({r["k"] for r in d.select("k").collect()}) or synonyms(d, *rest))
+    got = {r["word"]: r["same"] for r in lexemes.learned(spark.createDataFrame(rows, "k string, w array<string>")).collect()}
+    assert seen and all(k.startswith("s") for x in seen for k in x)
+
+    want, new = {}, {"": ""}
+    while new:
+        d = {(k, frozenset(want.get(t, t) for t in w)) for k, w in rows}
+        d = {x for x in d if len(x[1]) > 1}
+        f, places, pairs, best = Counter(t for _, w in d for t in w), defaultdict(set), Counter(), {}
+        for k, w in d:
+            for t in w:
+                places[k, w - {t}].add(t)
+        for p in places.values():
+            top = min(p, key=lambda t: (-f[t], t))
+            pairs.update((t, top) for t in p - {top})
+        for (t, top), n in pairs.items():
+            if n >= 3 and n >= 0.1 * f[t]:
+                best[t] = max(best.get(t, (0, "")), (n, top))
+        new = {t: top for t, (_, top) in best.items()}
+        want = {t: new.get(s, s) for t, s in want.items()} | {t: s for t, s in new.items() if t not in want}
+    assert got == want and len(got) > 2
+
+
 def test_matches(spark, languages):
     meta = [record("a", "bráuker", "a heavy chisel used for bartering berries"), record("b", "brauker", "any hollow ladle; one made for washing eggs"), record("c", "stoumel", None), record("d", "trewaukroen", "to smoke horses with a dented lantern", part_of_speech=["verb"])]
     entries = [
